@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import audio, jaccard_join, license_scan, mixing, packing, quality_rules, token_output, url_filter
+from . import audio, jaccard_join, license_scan, mixing, packing, quality_rules, suffix_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
