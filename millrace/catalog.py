@@ -5,25 +5,323 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as tx
+from .functions import vectors
+from .operators import blocks, cdc, masking, quality, sqlstage, stats, textstages
+from .streaming import streams
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None, *tables: str):
+    """Registers a function of the named tables and its SQL."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(*[table(spark, sf_dir, t) for t in tables])
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue and orders by nation and order priority: three joins and one aggregate."""
-    t = lambda n: table(spark, sf_dir, n)
-    joined = (
-        t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .filter(F.col("o_totalprice") > 1000)
-    )
-    return joined.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
-
-
-QUERIES = {"flagship": flagship}
-ORACLE_SQL = {
-    "flagship": """SELECT n_name, o_orderpriority, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue
-      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-      WHERE o_totalprice > 1000 GROUP BY 1, 2"""
-}
+    """Revenue and orders by nation and order priority: two joins with small sides and one aggregate."""
+    return QUERIES["flagship"](spark, sf_dir)
+
+
+@query("flagship", """SELECT n_name, o_orderpriority, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 1000 GROUP BY 1, 2""", "orders", "customer", "nation")
+def _flagship(orders, customer, nation):
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.filter("o_totalprice > 1000").groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+
+
+# Blocks: name, table, columns kept first, blocks, SQL.
+ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+PARTS = "p_partkey, p_name, p_brand, p_size, p_retailprice"
+LEFT = "(SELECT c_custkey, c_name, o_orderkey, o_orderstatus, o_totalprice FROM customer LEFT JOIN orders ON c_custkey = o_custkey)"
+
+
+def _block(name: str, source: str, chain: list[dict], sql: str) -> None:
+    if source == "left":
+        def run(spark, d):
+            c, o = table(spark, d, "customer"), table(spark, d, "orders")
+            df = c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "c_name", "o_orderkey", "o_orderstatus", "o_totalprice")
+            return blocks.chain(df, chain)
+    else:
+        def run(spark, d):
+            columns = {"orders": ORDERS, "part": PARTS}.get(source, "*")
+            return blocks.chain(table(spark, d, source.split("_")[0]).select(*columns.split(", ")), chain)
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+for _op, _sign in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("lt", "<"), ("gte", ">="), ("lte", "<=")):
+    _block(f"blk_filter_{_op}", "part", [{"kind": "filter", "column": "p_size", "operator": _op, "value": "25"}], f"SELECT {PARTS} FROM part WHERE p_size {_sign} 25")
+_block("blk_filter_contains", "part", [{"kind": "filter", "column": "p_name", "operator": "contains", "value": "a"}], f"SELECT {PARTS} FROM part WHERE p_name LIKE '%a%'")
+_block("blk_filter_starts_with", "part", [{"kind": "filter", "column": "p_brand", "operator": "starts_with", "value": "Brand#1"}], f"SELECT {PARTS} FROM part WHERE p_brand LIKE 'Brand#1%'")
+_block("blk_filter_is_null", "left", [{"kind": "filter", "column": "o_orderkey", "operator": "is_null"}], f"SELECT * FROM {LEFT} WHERE o_orderkey IS NULL")
+_block("blk_filter_is_not_null", "left", [{"kind": "filter", "column": "o_orderkey", "operator": "is_not_null"}], f"SELECT * FROM {LEFT} WHERE o_orderkey IS NOT NULL")
+_block("blk_select_keep", "orders", [{"kind": "select_columns", "mode": "keep", "columns": ["o_totalprice", "o_orderkey"]}], "SELECT o_totalprice, o_orderkey FROM orders")
+_block("blk_select_drop", "orders", [{"kind": "select_columns", "mode": "drop", "columns": ["o_custkey", "o_orderstatus"]}], "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+_block("blk_rename", "orders", [{"kind": "rename", "from": "o_custkey", "to": "customer"}], "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, o_custkey AS customer FROM orders")
+for _kind, _sql in (("int", "CAST(trunc(o_totalprice) AS BIGINT)"), ("text", "CAST(o_custkey AS VARCHAR)"), ("float", "CAST(o_custkey AS DOUBLE)")):
+    _c = "o_totalprice" if _kind == "int" else "o_custkey"
+    _block(f"blk_cast_{_kind}", "orders", [{"kind": "cast", "column": _c, "data_type": _kind}, {"kind": "select_columns", "mode": "keep", "columns": ["o_orderkey", _c]}], f"SELECT o_orderkey, {_sql} AS {_c} FROM orders")
+_block("blk_cast_boolean", "part", [{"kind": "cast", "column": "p_size", "data_type": "boolean"}, {"kind": "select_columns", "mode": "keep", "columns": ["p_partkey", "p_size"]}], "SELECT p_partkey, CAST(p_size AS BOOLEAN) AS p_size FROM part")
+_block("blk_cast_date", "orders_dates", [{"kind": "cast", "column": "o_orderdate", "data_type": "date"}, {"kind": "select_columns", "mode": "keep", "columns": ["o_orderkey", "o_orderdate"]}], "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
+_block("blk_replace_text", "orders", [{"kind": "replace_text", "column": "o_orderpriority", "find": "-", "replace": " / "}], "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, replace(o_orderpriority, '-', ' / ') AS o_orderpriority FROM orders")
+_block("blk_fill_value", "left", [{"kind": "fill_nulls", "column": "o_orderstatus", "strategy": "value", "value": "none"}], f"SELECT * REPLACE (coalesce(o_orderstatus, 'none') AS o_orderstatus) FROM {LEFT}")
+_block("blk_fill_average", "left", [{"kind": "fill_nulls", "column": "o_orderkey", "strategy": "column_average"}], f"SELECT * REPLACE (coalesce(CAST(o_orderkey AS DOUBLE), (SELECT avg(o_orderkey) FROM {LEFT})) AS o_orderkey) FROM {LEFT}")
+_block("blk_fill_other", "left", [{"kind": "fill_nulls", "column": "o_orderstatus", "strategy": "other_column", "fallback_column": "c_name"}], f"SELECT * REPLACE (coalesce(o_orderstatus, c_name) AS o_orderstatus) FROM {LEFT}")
+_block("blk_drop_nulls", "left", [{"kind": "drop_nulls", "columns": ["o_orderkey", "o_orderstatus"]}], f"SELECT * FROM {LEFT} WHERE o_orderkey IS NOT NULL AND o_orderstatus IS NOT NULL")
+_block("blk_dedupe_all", "orders", [{"kind": "select_columns", "mode": "keep", "columns": ["o_orderstatus", "o_orderpriority"]}, {"kind": "dedupe", "columns": []}], "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+_block("blk_dedupe_keys", "orders", [{"kind": "dedupe", "columns": ["o_custkey"], "order_by": ["o_orderkey"]}], f"SELECT DISTINCT ON (o_custkey) {ORDERS} FROM orders ORDER BY o_custkey, o_orderkey")
+for _mode in ("upper", "lower"):
+    _block(f"blk_case_{_mode}", "part", [{"kind": "change_case", "column": "p_name", "mode": _mode}], f"SELECT p_partkey, {_mode}(p_name) AS p_name, p_brand, p_size, p_retailprice FROM part")
+_block("blk_case_title", "part", [{"kind": "change_case", "column": "p_name", "mode": "title"}, {"kind": "select_columns", "mode": "keep", "columns": ["p_partkey", "p_name"]}],
+       r"SELECT p_partkey, coalesce(list_aggregate(list_transform(regexp_extract_all(p_name, '([\p{L}\p{N}]+|[^\p{L}\p{N}]+)'), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ''), '') AS p_name FROM part")
+_block("blk_trim", "part", [{"kind": "replace_text", "column": "p_brand", "find": "Brand", "replace": "  "}, {"kind": "trim", "columns": ["p_brand"]}], "SELECT p_partkey, p_name, trim(replace(p_brand, 'Brand', '  ')) AS p_brand, p_size, p_retailprice FROM part")
+for _op, _sql in (("add", "p_partkey + p_size"), ("subtract", "p_partkey - p_size"), ("multiply", "p_partkey * p_size"), ("divide", "p_partkey // p_size"), ("concat", "CAST(p_partkey AS VARCHAR) || CAST(p_size AS VARCHAR)")):
+    _block(f"blk_compute_{_op}", "part", [{"kind": "computed_column", "output": "made", "left": "p_partkey", "operator": _op, "right": "p_size"}, {"kind": "select_columns", "mode": "keep", "columns": ["p_partkey", "made"]}], f"SELECT p_partkey, {_sql} AS made FROM part")
+_AGGREGATES = [{"column": "o_totalprice", "function": f, "output": f"x_{f}"} for f in ("min", "max", "count")] + [{"column": "o_custkey", "function": "count_distinct", "output": "customers"}, {"column": "o_custkey", "function": "sum", "output": "total"}, {"column": "o_custkey", "function": "avg", "output": "mean"}]
+_SQL_AGGREGATES = "min(o_totalprice) AS x_min, max(o_totalprice) AS x_max, count(o_totalprice) AS x_count, count(DISTINCT o_custkey) AS customers, CAST(sum(o_custkey) AS BIGINT) AS total, avg(o_custkey) AS mean"
+_block("blk_aggregate_all", "orders", [{"kind": "aggregate", "group_by": ["o_orderstatus"], "aggregations": _AGGREGATES}], f"SELECT o_orderstatus, {_SQL_AGGREGATES} FROM orders GROUP BY 1")
+_block("blk_aggregate_global", "orders", [{"kind": "aggregate", "group_by": [], "aggregations": _AGGREGATES}], f"SELECT {_SQL_AGGREGATES} FROM orders")
+_block("blk_aggregate_keys_only", "orders", [{"kind": "aggregate", "group_by": ["o_orderpriority"], "aggregations": []}], "SELECT DISTINCT o_orderpriority FROM orders")
+_block("blk_chain", "orders", [{"kind": "filter", "column": "o_totalprice", "operator": "gt", "value": "1000"}, {"kind": "rename", "from": "o_orderstatus", "to": "status"}, {"kind": "aggregate", "group_by": ["status"], "aggregations": [{"column": "o_orderkey", "function": "count", "output": "n"}]}, {"kind": "sort", "column": "n", "direction": "desc"}], "SELECT o_orderstatus AS status, count(o_orderkey) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
+
+
+# SQL stage: name, tables, SQL for Spark, SQL for the comparison if it differs.
+def _sql(name: str, tables: str, sql: str, other: str | None = None) -> None:
+    QUERIES[name] = lambda spark, d: sqlstage.transform({t: table(spark, d, t) for t in tables.split()}, sql)
+    ORACLE_SQL[name] = other or sql
+
+
+_C_O = "customer orders"
+_sql("sql_join_inner", _C_O, 'SELECT "c_name", o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey')
+for _join in ("left", "right", "full"):
+    _sql(f"sql_join_{_join}", _C_O, f"SELECT c_custkey, o_orderkey FROM customer {_join.upper()} JOIN orders ON c_custkey = o_custkey AND o_totalprice > 1500")
+_sql("sql_join_semi", _C_O, "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql("sql_join_anti", _C_O, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql("sql_join_in", _C_O, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+_sql("sql_join_cross", "region nation", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+_sql("sql_join_theta", "region nation", "SELECT r_regionkey, n_nationkey FROM region JOIN nation ON r_regionkey < n_regionkey")
+_sql("sql_window_rank", "orders", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_totalprice) AS r, dense_rank() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderstatus) AS d FROM orders")
+_sql("sql_window_row_number", "orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS q FROM orders")
+_sql("sql_window_lag_lead", "orders", "SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after, first_value(o_orderkey) OVER w AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+_sql("sql_window_rows_frame", "orders", "SELECT o_orderkey, sum(o_custkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM orders", "SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
+_sql("sql_window_range_frame", "orders", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS n FROM orders")
+_sql("sql_union_all", _C_O, "SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey AS k FROM orders")
+for _name in ("union", "intersect", "except"):
+    _sql(f"sql_{_name}", _C_O, f"SELECT c_custkey AS k FROM customer {_name.upper()} SELECT o_custkey AS k FROM orders")
+_sql("sql_except_all", _C_O, "SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey AS k FROM customer")
+_sql("sql_grouping_sets", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+for _name in ("cube", "rollup"):
+    _sql(f"sql_{_name}", "orders", f"SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY {_name.upper()} (o_orderstatus, o_orderpriority)")
+_sql("sql_cte", "lineitem", "WITH a AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey), b AS (SELECT max(n) AS m FROM a) SELECT l_suppkey, n FROM a, b WHERE n * 2 > m")
+_sql("sql_scalar_subquery", "part", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
+_sql("sql_correlated", _C_O, "SELECT c_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS last_order FROM customer")
+_sql("sql_having", "lineitem", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) > 10")
+_sql("sql_topk", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 5")
+_sql("sql_except_columns", "nation", "SELECT * EXCEPT (n_name) FROM nation", "SELECT * EXCLUDE (n_name) FROM nation")
+_sql("sql_string_fns", "part", "SELECT p_partkey, upper(p_brand) AS u, length(p_name) AS n, substring(p_name, 2, 3) AS s, concat_ws('|', p_brand, p_type) AS c, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS k, coalesce(nullif(p_brand, 'Brand#11'), '-') AS f FROM part")
+_sql("sql_date_fns", "orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, datediff(DATE '1999-01-01', CAST(o_orderdate AS DATE)) AS n FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS INT) AS n FROM orders")
+_sql("sql_math_fns", "part", "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS r, p_partkey % 7 AS m, abs(p_size - 25) AS a, CAST(floor(p_retailprice) AS BIGINT) AS f, greatest(p_size, 10) AS g FROM part")
+_sql("sql_array_fns", "embeddings", "SELECT vec_id, size(embedding) AS n, element_at(embedding, 1) AS x FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, embedding[1] AS x FROM embeddings")
+_sql("sql_json_fns", "events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+_sql("sql_distinct", "customer", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+_sql("sql_tpch_q1", "lineitem", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00' GROUP BY 1, 2", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY 1, 2")
+
+
+@query("sql_join_range", "SELECT event_id, o.o_orderkey FROM events e JOIN orders o ON e.user_id = o.o_custkey AND e.value BETWEEN o.o_totalprice / 100 - 5 AND o.o_totalprice / 100 + 5", "events", "orders")
+def _range(events, orders):
+    """A range join on an equal key: the equality deals rows, the range filters them."""
+    due = F.col("o_totalprice") / 100
+    return events.join(orders, (F.col("user_id") == F.col("o_custkey")) & F.col("value").between(due - 5, due + 5)).select("event_id", "o_orderkey")
+
+
+@query("sql_join_asof", """SELECT event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts, p.event_id) < (e.ts, e.event_id)) AS purchase_id
+    FROM events e""", "events")
+def _asof(events):
+    """The last purchase of the user before each event: one window instead of a join."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return events.select("event_id", F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(w).alias("purchase_id"))
+
+
+def _quality(name: str, column: str, check: dict, violations: str) -> None:
+    sql = f"SELECT '{column}' AS \"column\", '{check['kind']}' AS \"check\", CASE WHEN {violations} > 0 THEN 'fail' ELSE 'pass' END AS status, CAST({violations} AS BIGINT) AS violation_count, count(*) AS sample_size FROM orders"
+    query(name, sql, "orders")(lambda orders: quality.run_checks(orders, [{"column": column, "check": check}], examples=False).drop("message"))
+
+
+_quality("dq_not_null", "o_custkey", {"kind": "not_null"}, "count(*) - count(o_custkey)")
+_quality("dq_unique", "o_custkey", {"kind": "unique"}, "count(o_custkey) - count(DISTINCT o_custkey)")
+_quality("dq_min", "o_totalprice", {"kind": "min", "min": 2000}, "count(*) FILTER (o_totalprice < 2000)")
+_quality("dq_max", "o_totalprice", {"kind": "max", "max": 300000}, "count(*) FILTER (o_totalprice > 300000)")
+_quality("dq_accepted_values", "o_orderstatus", {"kind": "accepted_values", "values": ["O", "F"]}, "count(*) FILTER (o_orderstatus NOT IN ('O', 'F'))")
+
+
+@query("dq_row_count", "SELECT 'row_count' AS \"check\", 'pass' AS status, count(*) AS violation_count, count(*) AS sample_size FROM orders", "orders")
+def _row_count(orders):
+    return quality.run_checks(orders, [{"column": "", "check": {"kind": "row_count", "min": 1}}]).drop("message", "column")
+
+
+@query("dq_unknown_column", "SELECT 'gone' AS \"column\", 'not_null' AS \"check\", 'fail' AS status, 'column gone not found' AS message, CAST(NULL AS BIGINT) AS violation_count, count(*) AS sample_size FROM orders", "orders")
+def _unknown(orders):
+    return quality.run_checks(orders, [{"column": "gone", "check": {"kind": "not_null"}}])
+
+
+_INNER, _OUTER = (bytes(b ^ x for b in b"millrace".ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+
+
+@query("mask_hmac", f"SELECT c_custkey, substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(c_name)))), 1, 32) AS c_name FROM customer", "customer")
+def _mask(customer):
+    return masking.mask(customer.select("c_custkey", "c_name"), ["c_name", "absent"], "millrace")
+
+
+_CHANGES = "CASE WHEN event_type = 'purchase' THEN 'D' WHEN event_type = 'click' THEN 'U' ELSE 'I' END"
+
+
+def _changes(events: DataFrame) -> DataFrame:
+    code = F.when(F.col("event_type") == "purchase", "D").when(F.col("event_type") == "click", "U").otherwise("I")
+    return events.select("event_id", "user_id", "value", code.alias(cdc.OPCODE))
+
+
+@query("cdc_split_upserts", f"SELECT event_id, user_id, value FROM events WHERE {_CHANGES} <> 'D'", "events")
+def _upserts(events):
+    return cdc.split(_changes(events))[0]
+
+
+@query("cdc_split_deletes", f"SELECT event_id, user_id, value FROM events WHERE {_CHANGES} = 'D'", "events")
+def _deletes(events):
+    return cdc.split(_changes(events))[1]
+
+
+@query("cdc_latest_per_key", "SELECT DISTINCT ON (user_id) event_id, user_id, value FROM events ORDER BY user_id, event_id DESC", "events")
+def _latest(events):
+    return cdc.latest(events.select("event_id", "user_id", "value"), ["user_id"], ["event_id"])
+
+
+@query("cdc_merge", f"""WITH ch AS (SELECT DISTINCT ON (user_id) user_id, value, {_CHANGES} AS op FROM events ORDER BY user_id, event_id DESC)
+    SELECT c_custkey AS user_id, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM ch) UNION ALL SELECT user_id, value FROM ch WHERE op <> 'D'""", "events", "customer")
+def _merge(events, customer):
+    ch = cdc.latest(_changes(events), ["user_id"], ["event_id"]).drop("event_id")
+    return cdc.merge(customer.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value")), ch, ["user_id"])
+
+
+@query("cdc_insert_if_absent", """WITH n AS (SELECT DISTINCT ON (user_id) user_id, value FROM events ORDER BY user_id, event_id DESC)
+    SELECT c_custkey AS user_id, c_acctbal AS value FROM customer UNION ALL SELECT user_id, value FROM n WHERE user_id NOT IN (SELECT c_custkey FROM customer)""", "events", "customer")
+def _absent(events, customer):
+    new = cdc.latest(events.select("event_id", "user_id", "value"), ["user_id"], ["event_id"]).drop("event_id")
+    return cdc.insert_if_absent(customer.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value")), new, ["user_id"])
+
+
+@query("cdc_map_change_feed", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'D' WHEN 'click' THEN 'U' ELSE 'I' END AS __opcode FROM events WHERE event_type <> 'view'", "events")
+def _feed(events):
+    kind = F.when(F.col("event_type") == "purchase", "delete").when(F.col("event_type") == "click", "update_postimage").when(F.col("event_type") == "view", "update_preimage").otherwise("insert")
+    return cdc.from_change_feed(events.select("event_id", kind.alias("_change_type"), F.col("event_id").alias("_commit_version"))).drop("_commit_version")
+
+
+@query("chunk_fixed", """SELECT doc_id, k AS chunk_index, substring(text, k * 400 + 1, 512) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(CASE WHEN length(text) <= 512 THEN 1 ELSE ceil((length(text) - 512) / 400) + 1 END AS BIGINT))) AS k FROM documents WHERE length(text) > 0)""", "documents")
+def _chunks(documents):
+    return textstages.chunk(documents.select("doc_id", "text"), "text", "fixed_window", 512, 112).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query("chunk_recursive", None, "documents")
+def _recursive(documents):
+    return textstages.chunk(documents.select("doc_id", "text"), "text", "recursive_character", 512, 64)
+
+
+@query("chunk_semantic", None, "documents")
+def _semantic(documents):
+    return textstages.semantic_chunks(documents, "doc_id", "text", 32, 0.1)
+
+
+@query("sentences", None, "documents")
+def _sentences(documents):
+    return documents.select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
+
+
+@query("embed", None, "documents")
+def _embed(documents):
+    return textstages.embed(documents.select("doc_id", "text"), "text", "vector", 16)
+
+
+@query("vec_l2_topk", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(distance, 4) AS distance FROM (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))) AS distance FROM embeddings, q) ORDER BY distance, vec_id LIMIT 10""", "embeddings")
+def _l2(embeddings):
+    q = embeddings.filter("vec_id = 0").first()
+    return vectors.nearest(embeddings, "embedding", q.embedding, 10, tie="vec_id").select("vec_id", F.round("distance", 4).alias("distance"))
+
+
+@query("vec_cosine_topk", """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(distance, 4) AS distance FROM (SELECT vec_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS distance FROM embeddings, q) ORDER BY distance, vec_id LIMIT 10""", "embeddings")
+def _cosine(embeddings):
+    q = embeddings.filter("vec_id = 0").first()
+    return vectors.nearest(embeddings, "embedding", q.embedding, 10, "cosine", tie="vec_id").select("vec_id", F.round("distance", 4).alias("distance"))
+
+
+@query("eval_jaccard", None, "conversations")
+def _jaccard(conversations):
+    a = conversations.filter("turn = 0").select("conv_id", F.col("text").alias("a"))
+    b = conversations.filter("turn = 1").select("conv_id", F.col("text").alias("b"))
+    return a.join(b, "conv_id").select("conv_id", F.round(tx.token_similarity(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query("prompt_build", "SELECT conv_id, turn, 'As ' || role || ': ' || text || ' {more}' AS prompt FROM conversations", "conversations")
+def _prompt(conversations):
+    return conversations.select("conv_id", "turn", tx.prompt("As {role}: {text} {more}", ["role", "text"]).alias("prompt"))
+
+
+@query("llm_complete", "SELECT conv_id, turn, CAST(length(role || ': ' || text) AS VARCHAR) AS reply FROM conversations", "conversations")
+def _complete(conversations):
+    return textstages.complete(conversations, "{role}: {text}", ["role", "text"], "reply", lambda prompts: [len(p) for p in prompts]).select("conv_id", "turn", "reply")
+
+
+_DAILY = "(SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)"
+
+
+@query("anomaly_zscore", f"""WITH d AS (SELECT *, count(n) OVER w AS p, avg(n) OVER w AS mu, stddev_pop(n) OVER w AS sd FROM {_DAILY} WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+    SELECT event_type, day, n, CASE WHEN p < 5 THEN 'none' WHEN sd = 0 THEN CASE WHEN n = mu THEN 'none' ELSE 'warning' END WHEN abs(n - mu) / sd >= 3 THEN 'critical' WHEN abs(n - mu) / sd >= 2 THEN 'warning' ELSE 'none' END AS severity FROM d""", "events")
+def _anomaly(events):
+    daily = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return stats.anomalies(daily, ["event_type"], ["day"], "n").select("event_type", "day", "n", "severity")
+
+
+@query("volume_trend", "SELECT * FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 50)", "events")
+def _trend(events):
+    return stats.trend(events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "day")
+
+
+@query("bucket_avg", "SELECT CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 3600000000) AS BIGINT) AS bucket, round(avg(value), 6) AS value FROM events GROUP BY 1", "events")
+def _buckets(events):
+    return stats.buckets(events, "ts", ["value"], 3600).withColumn("value", F.round("value", 6))
+
+
+@query("pk_partitions", "WITH b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders) SELECT CAST((o_orderkey - lo) // ((hi - lo + 8) // 8) AS BIGINT) AS part, count(*) AS n FROM orders, b GROUP BY 1", "orders")
+def _ranges(orders):
+    part = F.lit(None).cast("long")
+    for i, (a, _) in enumerate(stats.key_ranges(orders, "o_orderkey", 8)):
+        part = F.when(F.col("o_orderkey") >= a, F.lit(i).cast("long")).otherwise(part)
+    return orders.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("catalog_search", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'an') AND p_brand = 'Brand#11'", "part")
+def _search(part):
+    return stats.search(part, "AN", ["p_name"], {"p_brand": "Brand#11"}).select("p_partkey")
+
+
+def _streamed(name: str, sql: str, f) -> None:
+    query(name, sql, "events")(lambda events: f(events.select("event_type", F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"))).select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("start", "end") else F.col(c) for c in ("start", "end", "event_type", "n")]))
+
+
+_streamed("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL", lambda e: streams.tumbling(e, "ts", "1 hour", ["event_type"]))
+_streamed("stream_sliding", "SELECT s AS start, s + INTERVAL 2 HOUR AS \"end\", event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS s FROM events, range(0, 2) r(k)) GROUP BY ALL", lambda e: streams.tumbling(e, "ts", "2 hours", ["event_type"], slide="1 hour"))
+_streamed("stream_session", """WITH a AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+    b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS s FROM a) SELECT min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", event_type, count(*) AS n FROM b GROUP BY event_type, s""", lambda e: streams.sessions(e, "ts", "10 minutes", ["event_type"]))
