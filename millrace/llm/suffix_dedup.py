@@ -25,6 +25,7 @@ from .common import new_path, table, text_key, written
 WINDOW, KMER = 400, 100
 #: Contexts that go through the rounds together, unless one anchor has more.
 TOGETHER = 8192
+SENT = 1_000_000  # digests that a task remembers
 BASE = 0x9E3779B97F4A7C15
 PAD = 256  # stands beyond the ends of a text
 
@@ -117,7 +118,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
 
     Removed is each byte covered by a string of ``window`` bytes that starts anywhere else too, in the same text or another
     row; a text that several rows have is removed as a whole if it is long enough.  Null and empty texts count as
-    empty.  Memory: a task holds ``2 * window - kmer`` bytes for each occurrence of its most frequent anchor.
+    empty.  Memory: a task holds ``2 * window - kmer`` bytes for each different context of its most frequent anchor.
     """
     lead = window - kmer  # bytes before the anchor in a context
     width = lead + window
@@ -152,9 +153,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
     near = texts.select(*keys, "text").join(wanted.hint("shuffle_hash"), keys)
 
     def surround(batches):
-        """Contexts of a text's anchors, equal ones once; of those that the text has twice, also the bytes they cover."""
+        """Contexts of a text's anchors, equal ones once; of those that the text has twice, also the bytes they cover.
+
+        The bytes of a context go out with its first text in a task; after that its digest stands for it.
+        """
+        import xxhash
+
+        sent: set[int] = set()
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
+            if len(sent) > SENT:
+                sent.clear()
             for i in range(batch.num_rows):
                 raw = batch.column(2)[i].as_buffer().to_pybytes()
                 padded = b"\0" * lead + raw + b"\0" * window
@@ -167,14 +176,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
                         lo, hi = max(0, lead - places[0]), min(width, lead + len(raw) - places[0])
                         if len(places) > 1 and hi - lo >= window:
                             for p in places:
-                                for column, value in zip(out, (i, None, p, None, p - lead + lo, p - lead + hi), strict=True):
+                                for column, value in zip(out, (i, None, p, None, p - lead + lo, p - lead + hi, None), strict=True):
                                     column.append(value)
-                        for column, value in zip(out, (i, entry["h"], places[0], context[2:], lo, hi), strict=True):
+                        digest = xxhash.xxh3_64_intdigest(context + lo.to_bytes(4, "little") + hi.to_bytes(4, "little")) - (1 << 63)
+                        for column, value in zip(out, (i, entry["h"], places[0], None if digest in sent else context[2:], lo, hi, digest), strict=True):
                             column.append(value)
+                        sent.add(digest)
             pick = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32())], names=[*keys, "h", "p", "context", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32()), pa.array(out[6], pa.int64())], names=[*keys, "h", "p", "context", "lo", "hi", "digest"])
 
-    contexts = written(near.mapInArrow(surround, "__k1 long, __k2 int, h long, p int, context binary, lo int, hi int"), "contexts")
+    contexts = written(near.mapInArrow(surround, "__k1 long, __k2 int, h long, p int, context binary, lo int, hi int, digest long"), "contexts")
 
     def rounds(batches):
         held: list[pa.RecordBatch] = []
@@ -223,8 +234,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
             yield from whole(True)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contexts.filter("h IS NOT NULL").repartition(parts, "h").sortWithinPartitions("h")
-    spans = dealt.mapInArrow(rounds, "__k1 long, __k2 int, lo int, hi int").unionByName(contexts.filter("h IS NULL").select(*keys, "lo", "hi"))
+    dealt = contexts.filter("context IS NOT NULL").drop("digest").repartition(parts, "h").sortWithinPartitions("h")
+    # What two texts surround alike is repeated as a whole.
+    alike = contexts.filter("h IS NOT NULL").groupBy("h", "digest").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = contexts.filter(F.col("hi") - F.col("lo") >= window).select(*keys, "h", "digest", "p", "lo", "hi").join(alike, ["h", "digest"])
+    shared = shared.select(*keys, (F.col("p") - lead + F.col("lo")).alias("lo"), (F.col("p") - lead + F.col("hi")).alias("hi"))
+    spans = dealt.mapInArrow(rounds, "__k1 long, __k2 int, lo int, hi int").unionByName(shared).unionByName(contexts.filter("h IS NULL").select(*keys, "lo", "hi"))
     spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches):
