@@ -44,6 +44,15 @@ def _ranks(path: str) -> dict[bytes, int]:
     return {bytes(chars[c] for c in token): i for token, i in vocabulary.items() if not token.startswith(SPECIAL)}
 
 
+def _special(path: str) -> dict[str, int]:
+    """Names and ids of the special tokens of a vocabulary file."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    return {t: i for t, i in file["model"]["vocab"].items() if t.startswith(SPECIAL)} | {x["content"]: x["id"] for x in file.get("added_tokens", [])}
+
+
 class Encoder:
     """Encodes texts to arrays of uint32 ids, without special tokens; the same ids as ``tokenizers`` gives.
 
@@ -59,9 +68,13 @@ class Encoder:
         ranks = _ranks(path)
         self.path, self.tokenizer = path, None
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        special = _special(path)
+        self.bytes_of = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        self.opens = np.zeros(len(self.bytes_of), bool)  # ids that start with ASCII white space
         for token, i in ranks.items():
-            self.bytes_of[i] = len(token)
+            self.bytes_of[i], self.opens[i] = len(token), token[:1].isspace()
+        for token, i in special.items():
+            self.bytes_of[i] = len(token.encode())
         self.size = len(self.bytes_of)
         self.powers = self.inverse = np.ones(1, np.uint64)
 

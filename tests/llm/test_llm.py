@@ -292,6 +292,36 @@ def test_scores(docs):
     assert lm_scoring.scores(docs.limit(0), tokens.default_path()).count() == 0
 
 
+def test_word_mix(docs, monkeypatch):
+    """Rare words come out of the join as they do out of the table of frequent ones."""
+    fit = lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda *a, **k: fit(*a, **k) | {"mix": 0.5})
+    some, all_words = ([r.score for r in lm_scoring.scores(docs, tokens.default_path(), words=n).orderBy(F.col("doc_id").cast("string"), "base_score", "score").collect()] for n in (20, 10**6))
+    assert np.allclose(some, all_words, rtol=1e-6)
+
+
+def test_units():
+    encode = tokens.encoder(tokens.default_path())
+    texts = ["", "one two", " one\ntwo  three\n\nfour", "éa\u00a0b <|endoftext|> x<|endoftext|>y\n", "  ", "a\tb"]
+    raw = [t.encode() for t in texts]
+    counts = np.ones(encode.size)
+    to_input, to_class = attention.inputs_of(counts), np.arange(encode.size) % 64
+    share = np.log10(counts / np.bincount(to_class, counts)[to_class])
+    known = {"weights": attention.start(64), "to_input": to_input, "to_class": to_class, "share": share}
+    u = lm_scoring.units(known, encode, raw)
+    assert u["words"].tolist() == [len(r.split()) for r in raw] and len(u["ends"]) == len(texts)
+    words = [w for r in raw for w in r.split()]
+    apart = dict(zip(zip(words, u["unit"].tolist(), strict=True), u["apart"].tolist(), strict=True))
+    spaced, lined = np.log10(0.98), np.log10(1 - 0.98)
+    by_text = [[apart[k] for k in apart if u["owner"][k[1]] == t] for t in range(len(texts))]
+    near = lambda a, b: len(a) == len(b) and np.allclose(a, b)
+    assert near(by_text[1], [spaced] * 2) and by_text[2][:2] == [spaced, lined] and by_text[5] == [spaced, lm_scoring.NOTHING]
+    assert near(by_text[3], [spaced] * 3)
+    ids = encode(texts)
+    whole, at = attention.unit_logs(known["weights"], ids, to_input, to_class, share, np.zeros(encode.size, bool), 2, 2)
+    assert np.allclose(whole.sum(), u["logs"].sum(), rtol=1e-5)
+
+
 def test_attention():
     rng, n = np.random.default_rng(0), 50
     texts = [np.array([(3 * i + j) % 20 + 5 for i in range(rng.integers(1, 90))], np.uint32) for j in range(60)]
@@ -301,7 +331,12 @@ def test_attention():
     share = np.log10(counts / np.bincount(to_class, counts)[to_class])
     m = attention.train(texts[:50], to_input, to_class, 2, 2, steps=150)
     held = texts[50:]
-    found = attention.score(m, held, to_input, to_class, share, 2, 2, together=3)
+    opening = rng.random(n) < 0.4
+    units, at = attention.unit_logs(m, held, to_input, to_class, share, opening, 2, 2, together=3)
+    due = np.concatenate([np.append(t, 2) for t in held])
+    starts = np.cumsum([0, *(len(t) + 1 for t in held)])
+    assert at.tolist() == [k for k, x in enumerate(due) if k in set(starts) or x == 2 or opening[x]]
+    found = np.bincount(np.searchsorted(starts, at, side="right") - 1, units)
     # One window after another, the slow way.
     for t, s in zip(held, found, strict=True):
         given, due, total = np.append([2], t), np.append(t, 2), 0.0
