@@ -140,6 +140,20 @@ _sql("sql_distinct", "customer", "SELECT DISTINCT c_mktsegment, c_nationkey FROM
 _sql("sql_tpch_q1", "lineitem", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00' GROUP BY 1, 2", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY 1, 2")
 
 
+_sql("sql_intersect_all", _C_O, "SELECT o_custkey AS k FROM orders INTERSECT ALL SELECT c_custkey AS k FROM customer")
+_sql("sql_window_share", "orders", "SELECT o_orderkey, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+# Groups of peers have no frame of their own in Spark: a range over their dense rank is the same.
+_sql("sql_window_groups_frame", "orders", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY d RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT o_orderkey, o_custkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS d FROM orders)", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders")
+_sql("sql_distinct_on", "orders", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+_sql("sql_statistics", "lineitem", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS v, round(corr(l_quantity, l_extendedprice), 6) AS c, median(l_quantity) AS m, count_if(l_discount > 0.05) AS n FROM lineitem GROUP BY l_returnflag")
+_sql("sql_filtered_aggregate", "orders", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'O') AS opened, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS top FROM orders GROUP BY o_orderpriority")
+_sql("sql_regex_fns", "part", "SELECT p_partkey, regexp_replace(p_brand, '[0-9]+', '#') AS r, regexp_extract(p_brand, '([0-9]+)', 1) AS d, p_name LIKE '%an%' AS l, lpad(p_brand, 10, '*') AS w, reverse(p_brand) AS b FROM part", "SELECT p_partkey, regexp_replace(p_brand, '[0-9]+', '#', 'g') AS r, regexp_extract(p_brand, '([0-9]+)', 1) AS d, p_name LIKE '%an%' AS l, lpad(p_brand, 10, '*') AS w, reverse(p_brand) AS b FROM part")
+_sql("sql_intervals", "orders", "SELECT o_orderkey, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS due, CAST(last_day(o_orderdate) AS DATE) AS last, quarter(o_orderdate) AS q FROM orders", "SELECT o_orderkey, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS due, CAST(last_day(o_orderdate) AS DATE) AS last, CAST(quarter(o_orderdate) AS INT) AS q FROM orders")
+_sql("sql_values", "nation", "SELECT n_name, v.label FROM nation JOIN (VALUES (0, 'first'), (1, 'second')) AS v(k, label) ON n_regionkey = v.k")
+_sql("sql_lateral", _C_O, "SELECT c_custkey, t.n FROM customer, LATERAL (SELECT count(*) AS n FROM orders WHERE o_custkey = c_custkey) AS t")
+_sql("sql_tpch_q3", "customer orders lineitem", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey ORDER BY revenue DESC, l_orderkey LIMIT 10")
+
+
 @query("sql_join_range", "SELECT event_id, o.o_orderkey FROM events e JOIN orders o ON e.user_id = o.o_custkey AND e.value BETWEEN o.o_totalprice / 100 - 5 AND o.o_totalprice / 100 + 5", "events", "orders")
 def _range(events, orders):
     """A range join on an equal key: the equality deals rows, the range filters them."""
@@ -245,7 +259,14 @@ def _semantic(documents):
     return textstages.semantic_chunks(documents, "doc_id", "text", 32, 0.1)
 
 
-@query("sentences", None, "documents")
+@query("chunk_fixed_overlap", """SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(part)) AS BIGINT) AS chars FROM (SELECT doc_id, substring(text, k * 150 + 1, 200) AS part FROM (SELECT doc_id, text, unnest(range(0, CAST(CASE WHEN length(text) <= 200 THEN 1 ELSE ceil((length(text) - 200) / 150) + 1 END AS BIGINT))) AS k FROM documents WHERE length(text) > 0)) GROUP BY doc_id""", "documents")
+def _overlap(documents):
+    """Numbers and sizes of overlapping chunks."""
+    parts = textstages.chunk(documents.select("doc_id", "text"), "text", "fixed_window", 200, 50)
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("sentences", r"""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '\S'))) AS INT) AS n_sentences FROM documents""", "documents")
 def _sentences(documents):
     return documents.select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
 
@@ -267,7 +288,11 @@ def _cosine(embeddings):
     return vectors.nearest(embeddings, "embedding", q.embedding, 10, "cosine", tie="vec_id").select("vec_id", F.round("distance", 4).alias("distance"))
 
 
-@query("eval_jaccard", None, "conversations")
+_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
+
+
+@query("eval_jaccard", f"""WITH t AS (SELECT conv_id, turn, {_TOKENS.format('text')} AS w FROM conversations WHERE turn < 2), p AS (SELECT a.conv_id, a.w AS a, b.w AS b, len(list_intersect(a.w, b.w)) AS n FROM t a JOIN t b ON a.conv_id = b.conv_id WHERE a.turn = 0 AND b.turn = 1)
+    SELECT conv_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE n / (len(a) + len(b) - n) END, 6) AS score FROM p""", "conversations")
 def _jaccard(conversations):
     a = conversations.filter("turn = 0").select("conv_id", F.col("text").alias("a"))
     b = conversations.filter("turn = 1").select("conv_id", F.col("text").alias("b"))
