@@ -8,6 +8,8 @@ collection of their own.  There, each round inserts the next column to the left,
 symbol updates the order of suffixes (the Burrows-Wheeler transform's) and range minima update the common prefixes.  A window
 repeats where it shares WINDOW bytes with a neighbour in that order.  Many anchors' contexts go through the rounds
 together, as parts of one table, streamed from sorted shuffle files.
+
+Words go through the same: symbols are then whole words, and a passage repeats where WORDS of them do.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import new_path, table, text_key, written
 
 WINDOW, KMER = 400, 100
+#: Words of a passage that the pipeline's stage removes (any of over 50), and of an anchor.
+WORDS, WORD_KMER = 51, 16
 #: Contexts that go through the rounds together, unless one anchor has more.
 TOGETHER = 8192
 SENT = 1_000_000  # digests that a task remembers
@@ -43,18 +47,43 @@ def _slide(v: np.ndarray, width: int, op, filler) -> np.ndarray:
     return op(after[: n - width + 1], before[width - 1 : n])
 
 
-def anchors(text: bytes, powers, window: int = WINDOW, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose hash of ``kmer`` bytes is the smallest of some window, and these hashes."""
-    n = len(text)
-    if n < window:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    power, inverse = powers
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    v = (sums[kmer:] - sums[:-kmer]) * inverse[: n - kmer + 1]
+def _mix(v: np.ndarray) -> np.ndarray:
     v ^= v >> np.uint64(32)
     v *= np.uint64(0xD6E8FEB86659FD93)
     v ^= v >> np.uint64(32)
+    return v
+
+
+def _sums(values: np.ndarray, power: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    return sums
+
+
+def _symbols(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words between ASCII white space start and end."""
+    raw = np.frombuffer(text, np.uint8)
+    edges = np.diff(((raw != 32) & ((raw < 9) | (raw > 13))).astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def anchors(text: bytes, powers, window: int = WINDOW, kmer: int = KMER, words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose hash of ``kmer`` bytes, or words, is the smallest of some window, and these hashes."""
+    power, inverse = powers
+    values = _symbols(text)
+    if words:
+        start, stop = word_places(text)
+        sums = _sums(values, power)
+        values = _mix((sums[stop] - sums[start]) * inverse[start])
+    n = len(values)
+    if n < window:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sums = _sums(values, power)
+    v = _mix((sums[kmer:] - sums[:-kmer]) * inverse[: n - kmer + 1])
     width = window - kmer + 1
     least = _slide(v, width, np.minimum, np.uint64(2**64 - 1))
     edge = np.zeros(width - 1, np.uint64)
@@ -62,16 +91,16 @@ def anchors(text: bytes, powers, window: int = WINDOW, kmer: int = KMER) -> tupl
     return at, v[at].astype(np.int64)
 
 
-def repeated_windows(columns: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+def repeated_windows(columns: np.ndarray, group: np.ndarray, window: int, pad: int = PAD) -> np.ndarray:
     """Whether the window that starts at a column stands in another context of the same group.
 
-    columns: symbols, a row for each column and a place for each context; group: non-decreasing.  Returns a row for each
+    columns: symbols up to ``pad``, a row for each column and a place for each context; group: non-decreasing.  Returns a row for each
     start.  Columns are inserted from the last to the first; ``order`` is that of the suffixes from the
     current column, group by group, and ``prefix`` what each has in common with the one before it.
     """
     width, m = columns.shape
     out = np.zeros((width - window + 1, m), bool)
-    order, prefix, base = np.arange(m), np.zeros(m, np.int32), group.astype(np.int64) * (PAD + 1)
+    order, prefix, base = np.arange(m), np.zeros(m, np.int32), group.astype(np.int64) * (pad + 1)
     for c in range(width - 1, -1, -1):
         key = base + columns[c, order]
         if (key[1:] >= key[:-1]).all():  # the order stays
@@ -113,19 +142,11 @@ def _store(df: DataFrame, keys: list[str]) -> DataFrame:
     return spark.read.table(name)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "text", keep: bool = True) -> DataFrame:
-    """A row for each different text: __k1, __k2, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if ``keep``.
-
-    Removed is each byte covered by a string of ``window`` bytes that starts anywhere else too, in the same text or another
-    row; a text that several rows have is removed as a whole if it is long enough.  Null and empty texts count as
-    empty.  Memory: a task holds ``2 * window - kmer`` bytes for each different context of its most frequent anchor.
-    """
-    lead = window - kmer  # bytes before the anchor in a context
+def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> DataFrame:
+    """__k1, __k2, lo, hi: strings of ``window`` bytes, or words, that stand anywhere else, joined where they overlap in a context."""
+    lead = window - kmer  # symbols before the anchor in a context
     width = lead + window
     keys = ["__k1", "__k2"]
-    raw = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(*text_key(raw), raw.cast("binary").alias("text")).groupBy(*keys).agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    texts = _store(texts, keys)
 
     def find(batches):
         powers = _powers(1 << 16)
@@ -135,7 +156,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
                 raw = x.as_buffer().to_pybytes()
                 if len(raw) + 1 > len(powers[0]):
                     powers = _powers(2 * len(raw))
-                at, h = anchors(raw, powers, window, kmer)
+                at, h = anchors(raw, powers, window, kmer, words)
                 order = np.argsort(h, kind="stable")
                 cuts = np.flatnonzero(np.diff(h[order])) + 1
                 for part in np.split(order, cuts) if len(order) else []:
@@ -147,7 +168,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
             pick = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(hashes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=[*keys, "h", "at"])
 
-    found = written(texts.filter(F.length("text") >= window).select(*keys, "text").mapInArrow(find, "__k1 long, __k2 int, h long, at array<int>"), "anchors")
+    found = written(texts.filter(F.length("text") >= (2 * window - 1 if words else window)).select(*keys, "text").mapInArrow(find, "__k1 long, __k2 int, h long, at array<int>"), "anchors")
     often = found.groupBy("h").agg(F.sum(F.size("at")).alias("n")).filter("n > 1").select("h")
     wanted = found.join(often, "h").groupBy(*keys).agg(F.collect_list(F.struct("h", "at")).alias("anchors"))
     near = texts.select(*keys, "text").join(wanted.hint("shuffle_hash"), keys)
@@ -166,20 +187,26 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
                 sent.clear()
             for i in range(batch.num_rows):
                 raw = batch.column(2)[i].as_buffer().to_pybytes()
-                padded = b"\0" * lead + raw + b"\0" * window
+                split = raw.split() if words else raw
+                size = len(split)
+                padded = b"" if words else b"\0" * lead + raw + b"\0" * window
                 for entry in batch.column(3)[i].values.to_pylist():
                     seen: dict[bytes, list[int]] = {}
                     for p in entry["at"]:
-                        ends = bytes([p < lead, len(raw) - p < window])  # a context at an edge isn't one inside
-                        seen.setdefault(ends + padded[p : p + width], []).append(p)
+                        ends = bytes([p < lead, size - p < window])  # a context at an edge isn't one inside
+                        if words:  # its place in the columns too, as nothing stands for what is missing
+                            context = max(0, lead - p).to_bytes(4, "little") + min(width, lead + size - p).to_bytes(4, "little") + b" ".join(split[max(0, p - lead) : p + window])
+                        else:
+                            context = padded[p : p + width]
+                        seen.setdefault(ends + context, []).append(p)
                     for context, places in seen.items():
-                        lo, hi = max(0, lead - places[0]), min(width, lead + len(raw) - places[0])
+                        lo, hi = max(0, lead - places[0]), min(width, lead + size - places[0])
                         if len(places) > 1 and hi - lo >= window:
                             for p in places:
                                 for column, value in zip(out, (i, None, p, None, p - lead + lo, p - lead + hi, None), strict=True):
                                     column.append(value)
                         digest = xxhash.xxh3_64_intdigest(context + lo.to_bytes(4, "little") + hi.to_bytes(4, "little")) - (1 << 63)
-                        for column, value in zip(out, (i, entry["h"], places[0], None if digest in sent else context[2:], lo, hi, digest), strict=True):
+                        for column, value in zip(out, (i, entry["h"], places[0], None if digest in sent else context[10 if words else 2 :], lo, hi, digest), strict=True):
                             column.append(value)
                         sent.add(digest)
             pick = pa.array(out[0], pa.int64())
@@ -199,11 +226,19 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
             if not len(pick):
                 return None
             joined = rows.column("context").take(pa.array(pick)).combine_chunks()
-            symbols = np.frombuffer(b"".join(x.as_buffer() for x in joined), np.uint8).reshape(len(pick), width).astype(np.int16)
             lo, hi, p = lo[pick], hi[pick], p[pick]
             column = np.arange(width)
-            symbols[(column < lo[:, None]) | (column >= hi[:, None])] = PAD
-            marks = repeated_windows(np.ascontiguousarray(symbols.T), group[pick], window).T
+            inside = (column >= lo[:, None]) & (column < hi[:, None])
+            if words:
+                given = pa.array(b" ".join(x.as_buffer() for x in joined).split(b" "), pa.large_binary()).dictionary_encode()
+                pad = len(given.dictionary)
+                symbols = np.full(inside.shape, pad, np.int32)
+                symbols[inside] = given.indices.to_numpy()
+            else:
+                pad = PAD
+                symbols = np.frombuffer(b"".join(x.as_buffer() for x in joined), np.uint8).reshape(len(pick), width).astype(np.int16)
+                symbols[~inside] = pad
+            marks = repeated_windows(np.ascontiguousarray(symbols.T), group[pick], window, pad).T
             start = np.arange(lead + 1)
             marks &= (start >= lo[:, None]) & (start + window <= hi[:, None])
             row, first, last = _runs(marks)
@@ -233,14 +268,32 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
         if held and sum(b.num_rows for b in held):
             yield from whole(True)
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = contexts.filter("context IS NOT NULL").drop("digest").repartition(parts, "h").sortWithinPartitions("h")
     # What two texts surround alike is repeated as a whole.
     alike = contexts.filter("h IS NOT NULL").groupBy("h", "digest").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = contexts.filter(F.col("hi") - F.col("lo") >= window).select(*keys, "h", "digest", "p", "lo", "hi").join(alike, ["h", "digest"])
     shared = shared.select(*keys, (F.col("p") - lead + F.col("lo")).alias("lo"), (F.col("p") - lead + F.col("hi")).alias("hi"))
-    spans = dealt.mapInArrow(rounds, "__k1 long, __k2 int, lo int, hi int").unionByName(shared).unionByName(contexts.filter("h IS NULL").select(*keys, "lo", "hi"))
-    spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return dealt.mapInArrow(rounds, "__k1 long, __k2 int, lo int, hi int").unionByName(shared).unionByName(contexts.filter("h IS NULL").select(*keys, "lo", "hi"))
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "text", keep: bool = True, words: int | None = None, word_kmer: int = WORD_KMER) -> DataFrame:
+    """A row for each different text: __k1, __k2, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if ``keep``.
+
+    Removed is each byte covered by a string of ``window`` bytes that starts anywhere else too, in the same text or another
+    row; a text that several rows have is removed as a whole if it is long enough.  With ``words``, so is each
+    byte from the first to the last of that many words in a row that stand anywhere else, whatever white space is between them.  Null and
+    empty texts count as empty.  Memory: a task holds ``2 * window - kmer`` bytes, or words, for each different context of its most
+    frequent anchor.
+    """
+    keys = ["__k1", "__k2"]
+    raw = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(*text_key(raw), raw.cast("binary").alias("text")).groupBy(*keys).agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    texts = _store(texts, keys)
+    spans = _spans(texts, window, kmer).withColumn("words", F.lit(False))
+    if words:
+        spans = spans.unionByName(_spans(texts, words, word_kmer, True).withColumn("words", F.lit(True)))
+    spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "words")).alias("spans"))
 
     def cut(batches):
         fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep
@@ -249,10 +302,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
             for x, n, covered in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 raw = x.as_buffer().to_pybytes()
                 kept, removed, runs = raw, 0, 0
-                if n > 1 and len(raw) >= window:
+                if n > 1 and (len(raw) >= window or (words and len(raw.split()) >= words)):
                     kept, removed, runs = b"", len(raw), 1
                 elif covered.is_valid and len(covered.values):
-                    lo, hi = (covered.values.field(k).to_numpy() for k in (0, 1))
+                    lo, hi, by_word = (covered.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                    if by_word.any():
+                        start, stop = word_places(raw)
+                        lo, hi = lo.copy(), hi.copy()
+                        lo[by_word], hi[by_word] = start[lo[by_word]], stop[hi[by_word] - 1]
                     depth = np.bincount(lo, minlength=len(raw) + 1).astype(np.int64) - np.bincount(hi, minlength=len(raw) + 1)
                     gone = np.cumsum(depth)[: len(raw)] > 0
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
@@ -277,8 +334,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated strings; bytes of a character that a cut leaves behind go too."""
-    found = dedup(docs).select("__k1", "__k2", "n_removed", "kept")
+    """Documents without their repeated strings and passages of WORDS words; bytes of a character that a cut leaves behind go too."""
+    found = dedup(docs, words=WORDS).select("__k1", "__k2", "n_removed", "kept")
     rows = docs.select("*", *text_key(F.coalesce("text", F.lit("")))).join(found, ["__k1", "__k2"])
     kept = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
     return rows.withColumn("text", kept).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

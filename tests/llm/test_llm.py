@@ -267,6 +267,44 @@ def test_repeats(docs, window, kmer):
     assert suffix_dedup.repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window,words,word_kmer", [(400, 51, 16), (400, 12, 4), (60, 5, 2)])
+def test_repeated_words(docs, window, words, word_kmer):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    n_rows, of_words = Counter(t for _, t in rows), lambda t: [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+    spans = [(t, s, s + window, t[s : s + window]) for _, t in rows for s in range(len(t) - window + 1)]
+    for _, t in rows:
+        at = of_words(t)
+        spans += [(t, at[i][0], at[i + words - 1][1], tuple(t.split()[i : i + words])) for i in range(len(at) - words + 1)]
+    seen, gone = Counter(x for *_, x in spans), {t: np.zeros(len(t), bool) for _, t in rows}
+    for t, lo, hi, x in spans:
+        if seen[x] > 1:
+            gone[t][lo:hi] = True
+    for t, n in n_rows.items():
+        if n > 1 and (len(t) >= window or len(t.split()) >= words):
+            gone[t][:] = True
+    want = [(i, int(gone[t].sum()), hashlib.sha256(bytes(b for b, g in zip(t, gone[t], strict=True) if not g)).hexdigest()) for i, t in rows]
+    found = suffix_dedup.repeats(docs, window=window, kmer=window // 4, words=words, word_kmer=word_kmer)
+    assert by_row(found, "doc_id", "n_removed", "kept_sha256") == sorted(want, key=repr)
+
+
+def test_stage_passages(spark):
+    """Passages of 51 words, far below 400 bytes, leave both documents; those of 50 words stay."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 6))) for _ in range(2000)]
+    some = lambda n: " ".join(rng.choice(words, n))
+    rows, want = [], {}
+    for i in range(0, 40, 2):
+        passage = some(51 if i < 30 else 50)
+        assert len(passage) < 400
+        for j, between in ((i, " "), (i + 1, "\n")):
+            one, two = some(70), some(70)
+            text = passage.replace(" ", between, 1)
+            rows.append((j, f"{one} {text} {two}", "a"))
+            want[j] = f"{one}  {two}" if i < 30 else rows[-1][1]
+    found = suffix_dedup.stage(spark, sample(spark, rows).select("doc_id", "text", "n_chars"), "")
+    assert {r.doc_id: r.text for r in found.collect()} == want
+
+
 def test_columns_of_suffixes():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2, (12, 40)).astype(np.int16)
