@@ -1,8 +1,8 @@
 """License scans with a positional index of rare licence words (DataFrame operations only).
 
 The index maps a licence word to its (template, position) postings; it is as large as the template texts and travels as a
-literal.  Inverse document frequencies of its words come from all documents.  A file looks up its rarest licence words,
-postings vote for (template, file position - template position), and a vote of enough words is verified: the template's
+literal.  Inverse document frequencies of its words come from all documents.  A file looks up the rarest words of each
+template's mandatory key phrase, so no template takes votes from another; postings vote for (template, file position - template position), and a vote of enough words is verified: the template's
 mandatory key phrase must stand at that place.  All of it is one projection, without a shuffle of texts.
 """
 
@@ -34,8 +34,7 @@ TEMPLATES = [
     ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("reserved", "copyright all rights reserved", "all rights reserved"),
 ]
-LOOKED_UP = 6  # rarest licence words that a file looks up
-VOTES = 2  # of them that must agree on a place
+VOTES = 2  # rarest words of a key phrase that a file looks up and that must agree on a place
 
 
 def lowered_words(text: Column) -> Column:
@@ -80,8 +79,14 @@ def licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=P
     """
     words = vocabulary(templates)
     idf = rarity(docs, text, words)
-    postings = {w: [(t, p) for t, (_, body, _) in enumerate(templates) for p, x in enumerate(body.split()) if x == w] for w in words}
-    index = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(-idf[w]).alias("r"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]).alias("at")) for w in words])
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, body, key) in enumerate(templates):
+        body, key = body.split(), key.split()
+        k = next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+        # Places in the phrase, rarest first: where the phrase stands, all of them vote.
+        for i in sorted(range(len(key)), key=lambda i: (-idf[key[i]], i))[:VOTES]:
+            postings.setdefault(key[i], []).append((t, k + i))
+    index = F.array(*[F.struct(F.lit(w).alias("w"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in at]).alias("at")) for w, at in sorted(postings.items())])
     known = F.array(*[F.lit(w) for w in words])
     # Any match holds a key phrase or a base phrase, so the rarest word of each tells which files need a closer look.
     keys = [k.split() for _, _, k in templates] + [p.split() for _, p in phrases]
@@ -92,8 +97,7 @@ def licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=P
 
         def looked_up(hs: Column) -> Column:
             have = F.array_distinct(F.transform(hs, lambda x: x["w"]))
-            rarest = F.slice(F.array_sort(F.transform(F.filter(index, lambda e: F.array_contains(have, e["w"])), lambda e: F.struct(e["r"].alias("r"), e["w"].alias("w"), e["at"].alias("at")))), 1, LOOKED_UP)
-            return let(rarest, lambda top: F.array_sort(F.flatten(F.flatten(F.transform(top, lambda e: F.transform(F.filter(hs, lambda x: x["w"] == e["w"]), lambda x: F.transform(e["at"], lambda a: F.struct(a["t"].alias("t"), (x["i"] - a["p"]).alias("o")))))))))
+            return let(F.filter(index, lambda e: F.array_contains(have, e["w"])), lambda top: F.array_sort(F.flatten(F.flatten(F.transform(top, lambda e: F.transform(F.filter(hs, lambda x: x["w"] == e["w"]), lambda x: F.transform(e["at"], lambda a: F.struct(a["t"].alias("t"), (x["i"] - a["p"]).alias("o")))))))))
 
         def agreed(votes: Column) -> Column:
             return F.array_distinct(F.filter(votes, lambda v, k: F.coalesce(F.get(votes, k + VOTES - 1) == v, F.lit(False))))

@@ -110,6 +110,20 @@ def test_licenses(spark, docs):
     assert license_scan.licenses(docs.limit(0)).count() == 0
 
 
+def test_license_slots(spark):
+    """No template loses its votes to others in a file."""
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted."
+    cc, reserved = "Licensed under CC BY-NC 4.0.", "All rights reserved."
+    cases = [
+        (f"{bsd} {cc} {reserved}", "bsd,cc-by-nc,reserved"),
+        (f"Licensed under the Apache License, Version 2.0. {cc} Copyright 2020. {reserved}", "apache,cc-by-nc,reserved"),
+        (f"GNU General Public License. Released under the MIT License. {cc} {reserved}", "cc-by-nc,gpl,mit,reserved"),
+        (" ".join(key for _, _, key in license_scan.TEMPLATES), ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES}))),
+    ]
+    found = license_scan.licenses(sample(spark, [(i, t, "a") for i, (t, _) in enumerate(cases)]))
+    assert {r.doc_id: r["labels"] for r in found.collect()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_audio(spark, docs):
     assert audio.MULAW_TABLE[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
     assert audio.ALAW_TABLE[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
