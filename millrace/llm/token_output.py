@@ -1,6 +1,6 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-A keyed hash of (document, piece) deals sequences into shards, so one shuffle moves every id once.  In a shard, sequences
+A keyed hash of (document, text, number among equal rows of a task, piece) deals sequences into shards, so one shuffle moves every id once.  In a shard, sequences
 have dense numbers in document order; a keyed Feistel permutation of the shard's numbers, cycle-walking back into their
 range, gives each its slot, and the shard's first slot is the count of those before it.  Records have a fixed stride:
 a header and the ids, padded.  So slot numbers turn into byte offsets, and reading goes on from any slot.
@@ -21,6 +21,7 @@ from .tokens import EOS, default_path, encoder, in_slices
 
 LENGTH = 512  # ids of a sequence
 SHARD_CHARS = 32_000_000  # characters of text for each shard
+SHARD_RECORDS = 65_536  # records for each shard, on average at most
 HEADER = "<qqIIII"  # document, slot in shard, shard, piece, ids, their CRC-32
 HEADER_SIZE = struct.calcsize(HEADER)
 ROUNDS = 4
@@ -60,20 +61,26 @@ def sequences(docs: DataFrame, path: str, shards: int, key: int, length: int = L
     eos = np.array([EOS], np.uint32)
 
     def cut(batches):
+        import xxhash
+
+        again: dict[int, int] = {}
         encode = encoder(path)
         assert encode.size <= 1 << 16, "ids need more than 16 bits"
         for batch in batches:
             ids_of_docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for at, some in in_slices(texts):
-                row, piece, parts = [], [], []
+                row, piece, parts, apart = [], [], [], []
                 for i, ids in enumerate(encode(some), at):
                     ids = np.concatenate([ids, eos]).astype("<u2")
+                    equal = xxhash.xxh3_64_intdigest(some[i - at].encode(), seed=int(ids_of_docs[i]) & (2**64 - 1))
+                    again[equal] = number = again.get(equal, -1) + 1
                     for p, s in enumerate(range(0, len(ids), length)):
+                        apart.append((equal + number) & (2**64 - 1))
                         row.append(ids_of_docs[i])
                         piece.append(p)
                         parts.append(ids[s : s + length].tobytes())
                 row, piece = np.array(row, np.int64), np.array(piece, np.int64)
-                place = _mix64(_mix64(row.astype(np.uint64) ^ np.uint64(key)) + piece.astype(np.uint64))
+                place = _mix64(_mix64(_mix64(np.array(apart, np.uint64)) ^ np.uint64(key)) + piece.astype(np.uint64))
                 shard = ((place >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)  # a range of places for each shard
                 yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(piece, pa.int32()), pa.array(shard.astype(np.int32)), pa.array(parts, pa.binary())], names=["doc_id", "piece", "shard", "ids"])
 
@@ -81,14 +88,15 @@ def sequences(docs: DataFrame, path: str, shards: int, key: int, length: int = L
     return rows.mapInArrow(cut, "doc_id long, piece int, shard int, ids binary")
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 0, length: int = LENGTH, shard_chars: int = SHARD_CHARS) -> int:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 0, length: int = LENGTH, shard_chars: int = SHARD_CHARS, shard_records: int = SHARD_RECORDS) -> int:
     """Writes ``docs`` to ``path``/shard=K/ and returns the number of shards.
 
     Files go through Spark's text writer, which commits whole tasks only and reaches any store; its line end is the last
     byte of every record.  No documents give no shards.
     """
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
+    size = docs.agg(F.sum(F.length("text")), F.sum(F.octet_length("text")), F.count("*")).first()
+    records = (size[1] or 0) // length + size[2]  # at most: an id has a byte at least
+    shards = max(1, -(-(size[0] or 0) // shard_chars), -(-records // shard_records))
     width = HEADER_SIZE + 2 * length
 
     def records(pdf):

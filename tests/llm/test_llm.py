@@ -246,6 +246,16 @@ def test_shards(spark, docs, tmp_path):
     assert token_output.training_order(docs.limit(0), tokens.default_path()).count() == 0
 
 
+def test_shards_of_short_texts(spark, tmp_path):
+    """Short texts need as many shards as their records do, and null or repeated ids don't fill one."""
+    rows = [(None, None, "a")] * 2000 + [(None, f"t{i}", "a") for i in range(1000)] + [(7, "x", "a")] * 1000
+    docs = sample(spark, rows).repartition(3)
+    shards = token_output.write_shards(docs, str(tmp_path / "s"), tokens.default_path(), 5, shard_records=100)
+    assert shards >= 40
+    sizes = [r["count"] for r in token_output.read_shards(spark, str(tmp_path / "s")).groupBy("shard").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 250
+
+
 def test_jaccard(docs):
     rows = docs.collect()
     different = sorted({r.text or "" for r in rows})
