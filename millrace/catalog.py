@@ -279,15 +279,30 @@ def _embed(documents):
 @query("vec_l2_topk", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(distance, 4) AS distance FROM (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))) AS distance FROM embeddings, q) ORDER BY distance, vec_id LIMIT 10""", "embeddings")
 def _l2(embeddings):
     q = embeddings.filter("vec_id = 0").first()
+    if q is None:
+        return embeddings.limit(0).select("vec_id", F.lit(0.0).alias("distance"))
     return vectors.nearest(embeddings, "embedding", q.embedding, 10, tie="vec_id").select("vec_id", F.round("distance", 4).alias("distance"))
 
 
 @query("vec_cosine_topk", """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(distance, 4) AS distance FROM (SELECT vec_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS distance FROM embeddings, q) ORDER BY distance, vec_id LIMIT 10""", "embeddings")
 def _cosine(embeddings):
     q = embeddings.filter("vec_id = 0").first()
+    if q is None:
+        return embeddings.limit(0).select("vec_id", F.lit(0.0).alias("distance"))
     return vectors.nearest(embeddings, "embedding", q.embedding, 10, "cosine", tie="vec_id").select("vec_id", F.round("distance", 4).alias("distance"))
 
 
+def _each(name: str, metric: str, distance: str) -> None:
+    """All rows whose vec_id is divisible by 50 as queries, against all rows."""
+    sql = f"""WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query, vec_id, {distance} AS distance FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q)
+    SELECT query, vec_id, round(distance, 4) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 10"""
+    query(name, sql, "embeddings")(lambda embeddings: vectors.nearest_to_each(embeddings, embeddings.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10, metric).withColumn("distance", F.round("distance", 4)))
+
+
+_each("vec_l2_topk_each", "l2", "sqrt(list_sum(list_transform(list_zip(e, q), lambda p: (p[1] - p[2]) ** 2)))")
+_each("vec_cosine_topk_each", "cosine", "greatest(0.0, 1 - list_cosine_similarity(e, q))")
+
+
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
 
 

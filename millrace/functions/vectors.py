@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +32,38 @@ def nearest(df: DataFrame, vector: str, query: list[float], k: int = 5, metric:
     distance = {"l2": l2, "cosine": lambda a, b: 1 - cosine(a, b), "dot": lambda a, b: -dot(a, b)}[metric](F.col(vector), q)
     order = [F.col("distance")] + ([F.col(tie)] if tie else [])
     return df.withColumn("distance", distance).orderBy(*order).limit(k)
+
+
+def nearest_to_each(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, metric: str = "l2", block: int = 1024) -> DataFrame:
+    """query, key, distance: for each row of ``queries`` the ``k`` nearest rows of ``df`` by l2 or cosine, ties by the whole-number key.
+
+    Vectors have one length; rows without one are left out.  Every block of queries meets every block of rows, which keeps ``k``
+    rows for each query; these are merged by query.
+    """
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+        n = max(1, -(-rows.count() // block))
+        return rows.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("b")
+
+    def score(batches):
+        for batch in batches:
+            for q, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, x = np.array([e["id"] for e in r], np.int64), np.array([e["v"] for e in r])
+                size = np.sqrt((x * x).sum(axis=1))
+                found: list[list] = [[], [], []]
+                for e in q:
+                    v = np.array(e["v"])
+                    if metric == "l2":
+                        d = np.sqrt(((x - v) ** 2).sum(axis=1))
+                    else:
+                        both = size * np.sqrt((v * v).sum())
+                        d = np.maximum(1 - np.where(both == 0, 0.0, (x * v).sum(axis=1) / np.where(both == 0, 1.0, both)), 0.0)
+                    best = np.lexsort((ids, d))[:k]
+                    for column, part in zip(found, (np.full(len(best), e["id"]), ids[best], d[best]), strict=True):
+                        column.append(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["query", key, "distance"])
+
+    pairs = blocks(queries, "q").crossJoin(blocks(df, "r"))
+    near = pairs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(score, f"query long, `{key}` long, distance double")
+    order = Window.partitionBy("query").orderBy("distance", key)
+    return near.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k).drop("__n")

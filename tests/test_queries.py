@@ -18,3 +18,13 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["vec_l2_topk", "vec_cosine_topk"])
+def test_nearest_to_each(spark, name, tmp_path):
+    """Queries grow with the table, and a table without rows has no result."""
+    some = catalog.table(spark, oracle.DATA, "embeddings")
+    asked = catalog.QUERIES[f"{name}_each"](spark, oracle.DATA).select("query").distinct().count()
+    assert asked == some.filter("vec_id % 50 = 0").count() > 1
+    some.limit(0).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() == catalog.QUERIES[f"{name}_each"](spark, str(tmp_path)).count() == 0
