@@ -314,6 +314,15 @@ def _jaccard(conversations):
     return a.join(b, "conv_id").select("conv_id", F.round(tx.token_similarity(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+@query("eval_jaccard_turns", f"""WITH t AS (SELECT conv_id, turn, {_TOKENS.format('text')} AS w FROM conversations), p AS (SELECT b.conv_id, b.turn, a.w AS a, b.w AS b, len(list_intersect(a.w, b.w)) AS n FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)
+    SELECT conv_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE n / (len(a) + len(b) - n) END, 6) AS score FROM p""", "conversations")
+def _jaccard_turns(conversations):
+    """Every turn against the one before it in its conversation."""
+    before = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("a"))
+    now = conversations.select("conv_id", "turn", F.col("text").alias("b"))
+    return before.join(now, ["conv_id", "turn"]).select("conv_id", "turn", F.round(tx.token_similarity(F.col("a"), F.col("b")), 6).alias("score"))
+
+
 @query("prompt_build", "SELECT conv_id, turn, 'As ' || role || ': ' || text || ' {more}' AS prompt FROM conversations", "conversations")
 def _prompt(conversations):
     return conversations.select("conv_id", "turn", tx.prompt("As {role}: {text} {more}", ["role", "text"]).alias("prompt"))

@@ -28,3 +28,8 @@ def test_nearest_to_each(spark, name, tmp_path):
     assert asked == some.filter("vec_id % 50 = 0").count() > 1
     some.limit(0).write.parquet(str(tmp_path / "embeddings.parquet"))
     assert catalog.QUERIES[name](spark, str(tmp_path)).count() == catalog.QUERIES[f"{name}_each"](spark, str(tmp_path)).count() == 0
+
+
+def test_every_turn(spark):
+    last = catalog.table(spark, oracle.DATA, "conversations").agg({"turn": "max"}).first()[0]
+    assert {r.turn for r in catalog.QUERIES["eval_jaccard_turns"](spark, oracle.DATA).select("turn").distinct().collect()} == set(range(1, last + 1))
