@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
-import re
-
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import TransformError
 
-QUERY = re.compile(r"\s*(--[^\n]*\n\s*|/\*.*?\*/\s*)*(select|with|values|from|table|\()", re.IGNORECASE | re.DOTALL)
+COMMAND = "org.apache.spark.sql.catalyst.plans.logical.Command"
+WRITES = ("Insert", "Merge", "Update", "Delete")
+
+
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` and no views, on the same executors."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    for t in own.catalog.listTables():
+        if t.isTemporary:
+            own.catalog.dropTempView(t.name)
+    return own
+
+
+def _refuse_commands(spark: SparkSession, sql: str) -> None:
+    """TransformError if the parsed statement defines or changes anything, at its top or below a WITH."""
+    gateway = spark.sparkContext._gateway
+    nodes = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if is_instance_of(gateway, node, COMMAND) or name.startswith(WRITES):
+            raise TransformError(f"only a query is allowed, not {name}")
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
 
 
 def transform(inputs: dict[str, DataFrame], sql: str) -> DataFrame:
-    """One query over ``inputs``, each a view of its name in a session of its own; double quotes enclose names."""
-    if not QUERY.match(sql or ""):
-        raise TransformError("only a query is allowed")
+    """One query over ``inputs``, each a view of its name in a session of its own; double quotes enclose names.
+
+    The caller's views and settings are neither seen nor touched.  Anything but a query raises TransformError.
+    """
     spark = next(iter(inputs.values())).sparkSession
-    before = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
-    names = {}
-    for name, df in inputs.items():
-        names[name] = df
-        df.createOrReplaceTempView(name)
-    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     try:
-        return spark.sql(sql)
+        own = _own_session(spark)
+        _refuse_commands(own, sql or "")
+        for name, df in inputs.items():
+            held = own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
+            DataFrame(held, own).createOrReplaceTempView(name)
+        return own.sql(sql)
     except (AnalysisException, ParseException) as e:
         raise TransformError(str(e)) from e
-    finally:
-        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", before)
-        for name in names:
-            spark.catalog.dropTempView(name)
