@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -31,24 +32,35 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return found.select(*[F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
+def without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose key none of ``others`` has; nulls in keys are equal to each other."""
+    known = others.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = functools.reduce(lambda a, b: a & b, [rows[k].eqNullSafe(known[f"__{k}"]) for k in keys])
+    return rows.join(known, same, "left_anti")
+
+
 def merge(existing: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows whose key doesn't change, then the upserts."""
+    """Existing rows whose key doesn't change, then the upserts; a null key is a key like any other."""
     parts = split(changes)
     upserts, deletes = parts or (changes, changes.limit(0))
-    touched = upserts.select(*keys).unionByName(deletes.select(*keys)).distinct()
-    return existing.join(touched, keys, "left_anti").unionByName(upserts, allowMissingColumns=True)
+    touched = upserts.select(*keys).unionByName(deletes.select(*keys))
+    return without(existing, touched, keys).unionByName(upserts, allowMissingColumns=True)
 
 
 def insert_if_absent(existing: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Existing rows and the new ones whose key isn't there yet, the last of each key."""
     new = latest(rows, keys, order) if order else rows.dropDuplicates(keys)
-    return existing.unionByName(new.join(existing.select(*keys).distinct(), keys, "left_anti"))
+    return existing.unionByName(without(new, existing, keys))
+
 
+def from_change_feed(df: DataFrame, kind: str = "_change_type") -> DataFrame:
+    """A change feed's kinds as opcodes; rows before an update are left out, and reading an unknown kind raises.
 
-def from_change_feed(df: DataFrame, kind: str = "_change_type", version: str = "_commit_version") -> DataFrame:
-    """A change feed's kinds as opcodes, in commit order; rows before an update are left out."""
+    The feed's other columns stay, so that ``latest`` can settle the order by its version.
+    """
     code = F.when(F.col(kind) == "insert", "I").when(F.col(kind) == "update_postimage", "U").when(F.col(kind) == "delete", "D")
-    return df.filter(F.col(kind) != "update_preimage").withColumn(OPCODE, code).orderBy(version).drop(kind)
+    code = code.otherwise(F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce(F.col(kind), F.lit("null")))))
+    return df.filter(~F.col(kind).eqNullSafe(F.lit("update_preimage"))).withColumn(OPCODE, code).drop(kind)
 
 
 def ordered_changes(changes: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -56,18 +68,32 @@ def ordered_changes(changes: DataFrame, keys: list[str], position: str) -> DataF
     return changes.withColumn("change", F.row_number().over(Window.partitionBy(*keys).orderBy(position)))
 
 
-def merge_parquet(path: str, changes: DataFrame, keys: list[str]) -> None:
-    """Merges into a Parquet folder: writes a sibling folder, then swaps the names."""
+def _renamed(fs, old, new) -> None:
+    if not fs.rename(old, new):
+        raise OSError(f"{old} can't be renamed to {new}")
+
+
+def merge_files(path: str, changes: DataFrame, keys: list[str], kind: str = "parquet", **options) -> None:
+    """Merges into a folder of files: writes a sibling folder, then swaps the names.
+
+    A rename that fails raises and leaves the table as it was, under its name; the old files go last.
+    """
     spark = changes.sparkSession
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     parts = split(changes)
     if not fs.exists(at):
-        (parts[0] if parts else changes).write.parquet(path)
+        (parts[0] if parts else changes).write.options(**options).format(kind).save(path)
         return
     new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}-{x}-{uuid.uuid4().hex}") for x in ("new", "old"))
-    merge(spark.read.parquet(path), changes, keys).write.parquet(new.toString())
-    fs.rename(at, old)
-    fs.rename(new, at)
+    like = (parts[0] if parts else changes).schema
+    existing = spark.read.options(**options).format(kind)
+    merge((existing if kind == "parquet" else existing.schema(like)).load(path), changes, keys).write.options(**options).format(kind).save(new.toString())
+    _renamed(fs, at, old)
+    try:
+        _renamed(fs, new, at)
+    except Exception:
+        _renamed(fs, old, at)
+        raise
     fs.delete(old, True)

@@ -22,7 +22,7 @@ def mirror(changes: DataFrame, target: str, keys: list[str], checkpoint: str, or
 
     def apply(batch: DataFrame, _: int) -> None:
         held = transform(batch) if transform else batch
-        cdc.merge_parquet(target, cdc.latest(held, keys, order) if order else held, keys)
+        cdc.merge_files(target, cdc.latest(held, keys, order) if order else held, keys)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
