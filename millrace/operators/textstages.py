@@ -21,19 +21,15 @@ def split_recursively(text: str, size: int, separators: list[str]) -> list[str]:
     if not separators or separators[0] == "":
         return [text[i : i + size] for i in range(0, len(text), size)]
     first, rest = separators[0], separators[1:]
-    out, held = [], None
+    out, held = [], ""
     for piece in text.split(first):
-        joined = piece if held is None else held + first + piece
+        joined = held + first + piece if held else piece  # nothing is joined to a chunk that is still empty
         if len(joined) <= size:
             held = joined
             continue
-        if held:
-            out.append(held)
-        held = None
-        if len(piece) <= size:
-            held = piece
-        else:
-            out += split_recursively(piece, size, rest)
+        out += [held] if held else []
+        held = piece if len(piece) <= size else ""
+        out += split_recursively(piece, size, rest) if not held and piece else []
     return out + ([held] if held else [])
 
 
@@ -97,15 +93,21 @@ def embed(df: DataFrame, column: str, output: str, dimension: int, embedder=hash
     return df.filter(F.length(column) > 0).withColumn(output, vectors(F.col(column)))
 
 
-def semantic_chunks(df: DataFrame, key: str, column: str, dimension: int, threshold: float = 0.8, embedder=hash_embed) -> DataFrame:
-    """key, chunk_index, column: sentences joined while each is similar enough to the one before."""
-    each = df.select(key, F.posexplode(sentences(F.col(column))).alias("pos", "sentence"))
-    w = Window.partitionBy(key).orderBy("pos")
+def semantic_chunks(df: DataFrame, column: str, dimension: int, threshold: float = 0.8, embedder=hash_embed) -> DataFrame:
+    """A row for each chunk, which replaces the text: sentences joined while each is similar enough to the one before.
+
+    ``chunk_index`` counts from 0 within a row; the other columns stay, and equal rows are cut apart from each other.
+    """
+    rest = [c for c in df.columns if c != column]
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    each = rows.select("__row", F.struct(*rest).alias("__rest") if rest else F.lit(None).alias("__rest"), F.posexplode(sentences(F.col(column))).alias("pos", "sentence"))
+    w = Window.partitionBy("__row").orderBy("pos")
     held = embed(each, "sentence", "v", dimension, embedder)
     new = F.when(F.lag("v").over(w).isNull() | (cosine(F.lag("v").over(w), F.col("v")) < threshold), 1).otherwise(0)
-    held = held.withColumn("new", new).withColumn("chunk_index", F.sum("new").over(w) - 1)
+    held = held.withColumn("new", new).withColumn("chunk_index", (F.sum("new").over(w) - 1).cast("int"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ")
-    return held.groupBy(key, "chunk_index").agg(joined.alias(column))
+    made = held.groupBy("__row", "chunk_index").agg(F.first("__rest").alias("__rest"), joined.alias("__chunk"))
+    return made.select(*[F.col("__chunk").alias(c) if c == column else F.col(f"__rest.{c}").alias(c) for c in df.columns], "chunk_index")
 
 
 def cache_key(model: str, prompt_column: str, max_tokens: int, temperature: float):
@@ -113,9 +115,14 @@ def cache_key(model: str, prompt_column: str, max_tokens: int, temperature: floa
     return F.sha2(F.concat_ws("\0", F.lit(model), F.col(prompt_column), F.lit(str(max_tokens)), F.lit(str(temperature))), 256)
 
 
-def complete(df: DataFrame, template: str, columns: list[str], output: str, backend, model: str = "local", max_tokens: int = 256, temperature: float = 0.0) -> DataFrame:
-    """``df`` with ``backend(prompts)`` for each row's prompt; equal prompts are asked once."""
-    held = df.withColumn("__prompt", prompt(template, columns)).withColumn("__key", cache_key(model, "__prompt", max_tokens, temperature))
+def complete(df: DataFrame, template: str, columns: list[str], output: str, backend, model: str = "local", max_tokens: int = 256, temperature: float = 0.0, cache: str | None = None, ttl_seconds: int | None = None) -> DataFrame:
+    """``df`` with ``backend(prompts)`` for each row's prompt; equal prompts are asked once.
+
+    ``cache`` is a Parquet folder of earlier replies: only prompts without one younger than ``ttl_seconds`` are asked, and their
+    replies are added to it.
+    """
+    held = df.drop(output).withColumn("__prompt", prompt(template, columns)).withColumn("__key", cache_key(model, "__prompt", max_tokens, temperature))
+    wanted = held.groupBy("__key").agg(F.first("__prompt").alias("__asked"))
 
     @F.pandas_udf("string")
     def ask(s):
@@ -123,8 +130,22 @@ def complete(df: DataFrame, template: str, columns: list[str], output: str, back
 
         return pd.Series([str(x) for x in backend(s.tolist())])
 
-    asked = held.groupBy("__key").agg(F.first("__prompt").alias("__asked")).withColumn(output, F.coalesce(ask(F.col("__asked")), F.lit(""))).drop("__asked")
-    return held.drop(output).join(asked, "__key").drop("__key", "__prompt")
+    def answered(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(output, F.coalesce(ask(F.col("__asked")), F.lit(""))).drop("__asked")
+
+    if cache is None:
+        return held.join(answered(wanted), "__key").drop("__key", "__prompt")
+    spark, schema = df.sparkSession, "key string, reply string, at timestamp"
+    spark.createDataFrame([], schema).write.mode("append").parquet(cache)  # so that a first run has a cache to read
+    young = F.lit(True) if ttl_seconds is None else F.col("at") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(ttl_seconds)))
+
+    def replies() -> DataFrame:
+        found = spark.read.schema(schema).parquet(cache).filter(young)
+        return found.groupBy(F.col("key").alias("__key")).agg(F.max_by("reply", "at").alias(output))
+
+    missing = answered(wanted.join(replies(), "__key", "left_anti"))
+    missing.select(F.col("__key").alias("key"), F.col(output).alias("reply"), F.current_timestamp().alias("at")).write.mode("append").parquet(cache)
+    return held.join(replies(), "__key").drop("__key", "__prompt")
 
 
 def cost(df: DataFrame, prompt_tokens: str, reply_tokens: str, prompt_price: float, reply_price: float):
@@ -139,8 +160,16 @@ def context(found: list[str], question: str, template: str = "{context}\n\n{ques
     return template.replace("{context}", "\n\n".join(f"[{i}] {t}" for i, t in enumerate(found, 1))).replace("{question}", question)
 
 
-def on_whole_table(df: DataFrame, transform, limit: int = 1_000_000) -> DataFrame:
-    """``transform(pandas) -> pandas`` over all rows at once; tables above ``limit`` rows are refused, use ``mapInPandas`` there."""
-    if df.limit(limit + 1).count() > limit:
-        raise SpecError(f"more than {limit} rows for one pandas frame")
-    return df.sparkSession.createDataFrame(transform(df.toPandas()))
+def with_script(df: DataFrame, script: str, schema: str | None = None) -> DataFrame:
+    """``df`` through a script's ``transform(pandas) -> pandas``, Arrow batch by Arrow batch in tasks.
+
+    ``schema`` says what comes out, the columns of ``df`` by default.  A script without ``transform`` raises when it runs.
+    """
+
+    def run(batches):
+        scope: dict = {}
+        exec(script, scope)
+        for pdf in batches:
+            yield scope["transform"](pdf)
+
+    return df.mapInPandas(run, schema or df.schema)

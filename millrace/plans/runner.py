@@ -1,33 +1,59 @@
-"""Runs a pipeline specification as one lazy plan: masking, embedding, SQL or blocks, pandas, checks, then the sinks."""
+"""Runs a pipeline specification as one lazy plan: masking, embedding, model calls, SQL or blocks, a script, checks, then the sinks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
 
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from ..errors import SpecError
 from ..operators import blocks, masking, quality, sqlstage, textstages
 from ..sources import registry
 from . import spec as specs
 
 
-def plan(spark: SparkSession, spec: dict, salt: str | None = None, embedder=textstages.hash_embed) -> DataFrame:
-    """The output of a checked specification, not yet computed."""
+#: Stages of a specification that need more than Spark.
+ELSEWHERE = ("visualization", "dbt")
+
+
+def plan(spark: SparkSession, spec: dict, salt: str | None = None, embedder=textstages.hash_embed, prompts: dict[str, str] | None = None, backend=None) -> DataFrame:
+    """The output of a checked specification, not yet computed.
+
+    ``prompts`` has the templates that an ``llm`` stage names, ``backend`` answers lists of prompts.  A stage that can't run here raises.
+    """
+    if found := [k for k in ELSEWHERE if spec.get(k)]:
+        raise SpecError(f"{found[0]} isn't run here")
     inputs = {n["name"]: registry.read(spark, n["connector"], n["config"]) for n in spec["sources"]}
     if spec["masking"]:
         inputs = {k: masking.mask(v, [m["column"] for m in spec["masking"]], salt) for k, v in inputs.items()}
     if e := spec.get("embedding"):
         c = e.get("chunking") or {}
         for k, v in inputs.items():
-            if c:
+            if c.get("strategy") == "semantic":
+                v = textstages.semantic_chunks(v, e["source_column"], e["dimension"], c.get("similarity_threshold", 0.8), embedder).drop("chunk_index")
+            elif c:
                 v = textstages.chunk(v, e["source_column"], c.get("strategy", "fixed_window"), c.get("chunk_size", 512), c.get("overlap", 0), c.get("separators")).drop("chunk_index")
             inputs[k] = textstages.embed(v, e["source_column"], e["output_column"], e["dimension"], embedder)
+    if m := spec.get("llm"):
+        name = m["prompt"]["name"]
+        if backend is None or name not in (prompts or {}):
+            raise SpecError(f"llm needs a backend and the prompt {name!r}")
+        cache = m.get("cache") or {}
+        options = {"model": (m.get("model") or {}).get("name", "local"), "max_tokens": m.get("max_tokens", 256), "temperature": m.get("temperature", 0.0), "cache": cache.get("url"), "ttl_seconds": cache.get("ttl_seconds")}
+        inputs = {k: textstages.complete(v, prompts[name], m["input_columns"], m["output_column"], backend, **options) for k, v in inputs.items()}
     if spec.get("transform"):
-        return sqlstage.transform(inputs, spec["transform"]["sql"])
-    df = next(iter(inputs.values()))
-    return blocks.chain(df, spec["clean_blocks"]) if spec["clean_blocks"] else df
+        df = sqlstage.transform(inputs, spec["transform"]["sql"])
+    else:
+        df = next(iter(inputs.values()))
+        df = blocks.chain(df, spec["clean_blocks"]) if spec["clean_blocks"] else df
+    if p := spec.get("python"):
+        df = textstages.with_script(df, p["script"], p.get("schema"))
+    return df
 
 
-def run(spark: SparkSession, spec: dict, salt: str | None = None, ledger: str | None = None, pandas_stage=None) -> dict:
-    """Runs ``spec`` and returns its checks and the sinks it wrote.
+def run(spark: SparkSession, spec: dict, salt: str | None = None, ledger: str | None = None, **stages) -> dict:
+    """Runs ``spec`` and returns its checks, the sinks it wrote, and rows and seconds of the run; ``stages`` are what ``plan`` takes.
 
     ``ledger`` is a folder that remembers finished sinks, so a second run writes nothing to them again.  Several sinks
     share one computation, kept in executors' memory and disks.
@@ -42,19 +68,18 @@ def run(spark: SparkSession, spec: dict, salt: str | None = None, ledger: str |
                 raise
     todo = [s for s in spec["sinks"] if s["name"] not in done]
     if not todo:
-        return {"written": [], "checks": None}
-    df = plan(spark, spec, salt)
-    if pandas_stage:
-        df = textstages.on_whole_table(df, pandas_stage)
+        return {"written": [], "checks": None, "rows": 0, "seconds": 0.0}
+    df, began, seen = plan(spark, spec, salt, **stages), time.time(), Observation()
+    watched = next((k for k, s in enumerate(todo) if s["connector"] != "webhook"), None)  # a DataFrame writer counts its rows
     many = len(todo) > 1 or bool(spec["quality_checks"])
     df = df.persist() if many else df
     try:
         checks = quality.run_checks(df, spec["quality_checks"]) if spec["quality_checks"] else None
-        for sink in todo:
-            registry.write(df, sink["connector"], sink["config"])
+        for k, sink in enumerate(todo):
+            registry.write(df.observe(seen, F.count(F.lit(1)).alias("rows")) if k == watched else df, sink["connector"], sink["config"])
             if ledger:
                 spark.createDataFrame([(spec["pipeline_id"], sink["name"])], "pipeline string, sink string").write.mode("append").parquet(ledger)
     finally:
         if many:
             df.unpersist()
-    return {"written": [s["name"] for s in todo], "checks": checks}
+    return {"written": [s["name"] for s in todo], "checks": checks, "rows": None if watched is None else seen.get["rows"], "seconds": time.time() - began}
