@@ -1,7 +1,7 @@
 """Connectors by name: Spark's own readers and writers, and a few in Python.
 
 Names that need a server or a driver map to the Spark format that reads them; using one whose package is missing raises
-Spark's own error.  ``REMOTE`` names are services without a Spark format: they are listed, and reading one raises.
+Spark's own error.
 """
 
 from __future__ import annotations
@@ -14,22 +14,18 @@ from pyspark.sql import functions as F
 from ..errors import SpecError
 from ..operators import cdc
 
+# Connector names and the Spark formats that read them.
 FILES = ("csv", "json", "parquet", "orc", "text")
 JDBC = ("postgres", "mysql", "mssql", "synapse", "oracle", "redshift", "snowflake", "bigquery", "databricks", "clickhouse", "duckdb", "hana", "teradata", "vertica", "odbc", "starburst", "pgvector")
 FORMATS = {"kafka": "kafka", "deltalake": "delta", "iceberg": "iceberg", "ailake": "parquet"}
-CHANGES = ("postgres-cdc", "mysql-cdc", "mssql-cdc", "oracle-cdc", "mongodb-cdc", "deltalake-cdc", "iceberg-cdc", "ailake-cdc")
-REMOTE = (
-    "azure-ai-search", "chromadb", "dropbox", "dynamics365", "elasticsearch", "opensearch", "excel", "ga4", "google-ads", "google-drive", "google-sheets",
-    "hubspot", "kinesis", "lancedb", "linkedin-ads", "meta-ads", "milvus", "mongodb", "mqtt", "nats", "netsuite", "pdf-ocr", "pinecone", "pulsar", "qdrant",
-    "rabbitmq", "redis", "salesforce", "servicenow", "sharepoint", "shopify", "stripe", "tiktok-ads", "vertex-vector-search", "weaviate", "webhook", "workday",
-    "x-ads", "youtube-analytics", "zendesk",
-)
+CHANGES = ("deltalake-cdc", "iceberg-cdc")
+# Codec names.
 CODECS = {"none": "none", "snappy": "snappy", "gzip": "gzip", "lz4": "lz4", "lz4_raw": "lz4_raw", "zstd": "zstd", "brotli": "brotli"}
 NARROW = {"bigint": "bigint", "int": "bigint", "smallint": "bigint", "tinyint": "bigint", "double": "double", "float": "double", "boolean": "boolean"}
 
 
 def names() -> list[str]:
-    return sorted({*FILES, *JDBC, *FORMATS, *CHANGES, *REMOTE, "rest", "sqlite"})
+    return sorted({*FILES, *JDBC, *FORMATS, *CHANGES, "rest", "sqlite", "webhook"})
 
 
 def _one(config: dict, key: str, default: str) -> str:
@@ -66,13 +62,18 @@ def _as(value, kind: str):
     return float(value) if kind == "double" else value if isinstance(value, int) else None
 
 
+def _fields(schema: str) -> list[tuple[str, str]]:
+    fields = [(n.strip("`"), t) for n, t in (f.rsplit(" ", 1) for f in schema.split(", "))]
+    if bad := [t for _, t in fields if t not in ("bigint", "double", "boolean", "string")]:
+        raise SpecError(f"no type for JSON: {bad[0]}")
+    return fields
+
+
 def json_rows(spark: SparkSession, rows: list[dict], schema: str | None = None) -> DataFrame:
     """A DataFrame of rows that a service has sent; what doesn't fit its column is null."""
     schema = schema or infer_json(rows[:1000])
-    fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
-    if bad := [t for _, t in fields if t not in ("bigint", "double", "boolean", "string")]:
-        raise SpecError(f"no type for JSON: {bad[0]}")
-    return spark.createDataFrame([tuple(_as(r.get(n.strip("`")), t) for n, t in fields) for r in rows], schema)
+    fields = _fields(schema)
+    return spark.createDataFrame([tuple(_as(r.get(n), t) for n, t in fields) for r in rows], schema)
 
 
 def read_json(spark: SparkSession, path: str, sample: int = 1000) -> DataFrame:
@@ -81,38 +82,94 @@ def read_json(spark: SparkSession, path: str, sample: int = 1000) -> DataFrame:
     return spark.read.schema(infer_json(first)).option("primitivesAsString", "false").json(path)
 
 
-def read_rest(spark: SparkSession, config: dict) -> DataFrame:
-    """Rows of a paginated JSON service: ``url``, ``rows_path``, ``pagination`` (none, offset, cursor), ``max_pages``."""
+def _get(url: str, ask: dict, seconds: int):
     import urllib.parse
     import urllib.request
 
-    def dig(x, path):
-        for part in [p for p in (path or "").split(".") if p]:
-            x = x.get(part) if isinstance(x, dict) else None
-        return x
-
-    kind, size, rows, cursor = config.get("pagination", "none"), config.get("page_size", 100), [], None
-    for page in range(config.get("max_pages", 1000)):
-        ask = {"offset": {config.get("offset_param", "offset"): page * size, config.get("limit_param", "limit"): size}, "cursor": {config.get("cursor_param", "cursor"): cursor} if cursor else {}}.get(kind, {})
-        url = config["url"] + ("?" + urllib.parse.urlencode(ask) if ask else "")
-        with urllib.request.urlopen(url, timeout=config.get("timeout_seconds", 30)) as reply:
-            body = json.load(reply)
-        found = dig(body, config.get("rows_path")) or []
+    with urllib.request.urlopen(url + ("?" + urllib.parse.urlencode(ask) if ask else ""), timeout=seconds) as reply:
+        return json.load(reply)
+
+
+def _dig(x, path: str | None):
+    for part in [p for p in (path or "").split(".") if p]:
+        x = x.get(part) if isinstance(x, dict) else None
+    return x
+
+
+def read_rest(spark: SparkSession, config: dict) -> DataFrame:
+    """Rows of a paginated JSON service: ``url``, ``rows_path``, ``pagination`` (none, offset, cursor), ``max_pages``.
+
+    Where ``total_path`` says how many rows there are, tasks fetch the offset pages; a cursor leads from page to page, and so the driver
+    follows it.  More than ``max_pages`` pages raise.
+    """
+    kind, size, most, seconds = config.get("pagination", "none"), config.get("page_size", 100), config.get("max_pages", 1000), config.get("timeout_seconds", 30)
+    offset, limit = config.get("offset_param", "offset"), config.get("limit_param", "limit")
+
+    def page(number: int, cursor=None):
+        ask = {"offset": {offset: number * size, limit: size}, "cursor": {config.get("cursor_param", "cursor"): cursor} if cursor else {}}.get(kind, {})
+        return _get(config["url"], ask, seconds)
+
+    body = page(0)
+    rows, cursor, number = _dig(body, config.get("rows_path")) or [], _dig(body, config.get("cursor_path")), 0
+    schema = config.get("schema") or infer_json(rows)
+    if kind == "offset" and config.get("total_path"):
+        pages = -(-int(_dig(body, config["total_path"]) or 0) // size)
+        if pages > most:
+            raise SpecError(f"{pages} pages are more than {most}")
+
+        def fetch(batches):
+            import pandas as pd
+
+            fields = _fields(schema)
+            for pdf in batches:
+                for number in pdf["id"]:
+                    found = _dig(page(int(number)), config.get("rows_path")) or []
+                    yield pd.DataFrame([[_as(r.get(n), t) for n, t in fields] for r in found], columns=[n for n, _ in fields], dtype=object)
+
+        return spark.range(0, max(1, pages), 1, max(1, min(pages, 64))).mapInPandas(fetch, schema)
+    while (kind == "offset" and len(rows) == (number + 1) * size) or (kind == "cursor" and cursor is not None):
+        number += 1
+        if number >= most:
+            raise SpecError(f"more than {most} pages")
+        body = page(number, cursor)
+        found, cursor = _dig(body, config.get("rows_path")) or [], _dig(body, config.get("cursor_path"))
         rows += found
-        cursor = dig(body, config.get("cursor_path"))
-        if kind == "none" or (kind == "offset" and len(found) < size) or (kind == "cursor" and cursor is None):
-            break
-    return json_rows(spark, rows, config.get("schema"))
+    return json_rows(spark, rows, schema)
 
 
 def read_sqlite(spark: SparkSession, config: dict) -> DataFrame:
-    """A table of an SQLite file, read by the driver: for small files; larger ones need a JDBC driver."""
+    """A table of an SQLite file that all executors can open: tasks read ranges of its row numbers; the driver looks at the first rows."""
     import sqlite3
 
-    with sqlite3.connect(config["path"]) as db:
+    path, name, step = config["path"], config["table"].replace('"', '""'), config.get("rows_per_task", 100_000)
+    with sqlite3.connect(path) as db:
         db.row_factory = sqlite3.Row
-        rows = [dict(r) for r in db.execute(f'SELECT * FROM "{config["table"]}"')]
-    return json_rows(spark, rows, config.get("schema"))
+        schema = config.get("schema") or infer_json([dict(r) for r in db.execute(f'SELECT * FROM "{name}" LIMIT 1000')])
+        low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{name}"').fetchone()
+    if low is None:
+        return json_rows(spark, [], config.get("schema") or schema) if schema else spark.createDataFrame([], "")
+    fields = _fields(schema)
+
+    def fetch(batches):
+        import pandas as pd
+
+        with sqlite3.connect(path) as db:
+            db.row_factory = sqlite3.Row
+            for pdf in batches:
+                for first in pdf["id"]:
+                    rows = [[_as(dict(r).get(n), t) for n, t in fields] for r in db.execute(f'SELECT * FROM "{name}" WHERE rowid >= ? AND rowid < ?', (int(first), int(first) + step))]
+                    yield pd.DataFrame(rows, columns=[n for n, _ in fields], dtype=object)
+
+    return spark.range(low, high + 1, step, max(1, min(-(-(high - low + 1) // step), 1024))).mapInPandas(fetch, schema)
+
+
+def read_changes(spark: SparkSession, connector: str, config: dict) -> DataFrame:
+    """Change events of a lakehouse table, with opcodes: Delta's change feed, or what was appended to an Iceberg table."""
+    path, options = config.get("path"), config.get("options", {})
+    if connector == "deltalake-cdc":
+        reader = spark.read.format("delta").option("readChangeFeed", "true").option("startingVersion", config.get("starting_version", 0))
+        return cdc.from_change_feed(reader.options(**options).load(path))
+    return spark.read.format("iceberg").options(**options).load(path).withColumn(cdc.OPCODE, F.lit("I"))
 
 
 def read(spark: SparkSession, connector: str, config: dict) -> DataFrame:
@@ -135,23 +192,31 @@ def read(spark: SparkSession, connector: str, config: dict) -> DataFrame:
         if config.get("partition_column"):
             options |= {"partitionColumn": config["partition_column"], "lowerBound": config["lower"], "upperBound": config["upper"], "numPartitions": config.get("partitions", 8)}
         return spark.read.format("jdbc").options(**options).load()
+    if connector in CHANGES:
+        return read_changes(spark, connector, config)
     if connector in FORMATS:
         return spark.read.format(FORMATS[connector]).options(**config.get("options", {})).load(*([path] if path else []))
     raise SpecError(f"{connector!r} can't be read here" if connector in names() else f"no connector {connector!r}")
 
 
 def write(df: DataFrame, connector: str, config: dict) -> None:
-    """Writes ``df``; with ``primary_key`` a Parquet folder is merged, else ``mode`` (overwrite by default) holds."""
+    """Writes ``df``; with ``primary_key`` a folder of Parquet or CSV files is merged, else ``mode`` (overwrite by default) holds."""
     path, mode = config.get("path"), config.get("mode", "overwrite")
     if len(set(df.columns)) != len(df.columns):
         raise SpecError("two columns have the same name")
-    if connector == "parquet" and config.get("primary_key"):
-        keys = config["primary_key"]
-        return cdc.merge_parquet(path, df, [keys] if isinstance(keys, str) else keys)
+    options = {}
     if connector == "csv":
-        return df.write.mode(mode).options(header=True, sep=_one(config, "delimiter", ",")).csv(path)
+        options = {"header": True, "sep": _one(config, "delimiter", ",")}
     if connector == "parquet":
-        return df.write.mode(mode).option("compression", CODECS[config.get("compression", "snappy")]).parquet(path)
+        codec = config.get("compression", "snappy")
+        if codec not in CODECS:
+            raise SpecError(f"no codec {codec!r}")
+        options = {"compression": CODECS[codec]}
+    if connector in ("csv", "parquet") and config.get("primary_key"):
+        keys = config["primary_key"]
+        return cdc.merge_files(path, df, [keys] if isinstance(keys, str) else keys, connector, **options)
+    if connector in ("csv", "parquet"):
+        return df.write.mode(mode).options(**options).format(connector).save(path)
     if connector in FILES:
         return df.write.mode(mode).format(connector).save(path)
     if connector == "kafka":
