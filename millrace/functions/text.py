@@ -64,7 +64,15 @@ def hmac_token(value: Column, salt: bytes) -> Column:
 
 def shown(c: Column, kind: str) -> Column:
     """A value as text; doubles without exponent and without a trailing ``.0``."""
-    if kind in ("double", "float"):
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        return F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
-    return c.cast("string")
+    text = c.cast("string")
+    if kind not in ("double", "float"):
+        return text
+    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.|0+$", "")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    point = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int") + 1  # digits before the point; a mantissa has one
+    spread = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+    )
+    return F.when(text.contains("E"), F.concat(sign, spread)).otherwise(F.regexp_replace(text, r"\.0$", ""))

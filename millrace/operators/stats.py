@@ -25,11 +25,40 @@ def trend(df: DataFrame, order: str, n: int = 50) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(min(max(n, 1), 500)).orderBy(order)
 
 
+def bucket_seconds(lookback: int, target: int = 60, least: int = 1) -> int:
+    """Width of buckets that cut ``lookback`` seconds into ``target`` of them, and ``least`` at least."""
+    return max(lookback // target, least)
+
+
 def buckets(df: DataFrame, ts: str, values: list[str], seconds: int) -> DataFrame:
-    """Means of fixed-width buckets that start at the first sample; empty ones are left out."""
+    """Means of fixed-width buckets that start at the first sample, cut to whole numbers for whole-number columns; empty ones are left out."""
     first = df.agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))).alias("__first"))
     at = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.col("__first")) / (seconds * 1_000_000))
-    return df.crossJoin(F.broadcast(first)).groupBy(at.alias("bucket")).agg(*[F.avg(v).alias(v) for v in values])
+    mean = lambda v: F.floor(F.avg(v)).cast("long") if isinstance(df.schema[v].dataType, T.IntegralType) else F.avg(v)
+    # One row, the first sample's time.
+    return df.crossJoin(F.broadcast(first)).groupBy(at.alias("bucket")).agg(*[mean(v).alias(v) for v in values])
+
+
+def merge_columns(known: DataFrame, found: DataFrame) -> DataFrame:
+    """A catalogue of columns after another look: (dataset, name) stay for ever, types are the newest, other fields are kept.
+
+    known: dataset, name, type and what people have added; found: dataset, name, type.
+    """
+    new = found.select("dataset", "name", F.col("type").alias("__type")).dropDuplicates(["dataset", "name"])
+    joined = known.join(new, ["dataset", "name"], "full")
+    return joined.select(*[F.coalesce("__type", "type").alias("type") if c == "type" else F.col(c) for c in known.columns])
+
+
+def lineage_edges(specs: DataFrame) -> DataFrame:
+    """source, target: edges of a lineage graph from specifications: a resource to its pipeline, a pipeline to its resources.
+
+    specs: pipeline_id, sources and sinks (arrays of connector, identifier).  Equal edges are one; null identifiers have none.
+    """
+    resource = F.concat(F.lit("resource::"), F.col("x.connector"), F.lit("::"), F.col("x.identifier"))
+    pipeline = F.concat(F.lit("pipeline::"), F.col("pipeline_id"))
+    read = specs.select("pipeline_id", F.explode("sources").alias("x")).select(resource.alias("source"), pipeline.alias("target"))
+    made = specs.select("pipeline_id", F.explode("sinks").alias("x")).select(pipeline.alias("source"), resource.alias("target"))
+    return read.unionByName(made).dropna().distinct()
 
 
 def key_ranges(df: DataFrame, key: str, n: int) -> list[tuple]:
