@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import vectors
 from .operators import blocks, cdc, masking, quality, sqlstage, stats, textstages
+from .session import scratch
+from .sources import registry
 from .streaming import streams
 
 
@@ -98,6 +100,15 @@ _block("blk_aggregate_keys_only", "orders", [{"kind": "aggregate", "group_by": [
 _block("blk_chain", "orders", [{"kind": "filter", "column": "o_totalprice", "operator": "gt", "value": "1000"}, {"kind": "rename", "from": "o_orderstatus", "to": "status"}, {"kind": "aggregate", "group_by": ["status"], "aggregations": [{"column": "o_orderkey", "function": "count", "output": "n"}]}, {"kind": "sort", "column": "n", "direction": "desc"}], "SELECT o_orderstatus AS status, count(o_orderkey) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
 
 
+def _sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(*ORDERS.split(", "))
+    return blocks.chain(orders, [{"kind": "filter", "column": "o_orderstatus", "operator": "eq", "value": "O"}, {"kind": "sort", "column": "o_orderkey", "direction": "desc"}]).limit(20)
+
+
+QUERIES["blk_sort_limit"] = _sort_limit
+ORACLE_SQL["blk_sort_limit"] = f"SELECT {ORDERS} FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey DESC LIMIT 20"
+
+
 # SQL stage: name, tables, SQL for Spark, SQL for the comparison if it differs.
 def _sql(name: str, tables: str, sql: str, other: str | None = None) -> None:
     QUERIES[name] = lambda spark, d: sqlstage.transform({t: table(spark, d, t) for t in tables.split()}, sql)
@@ -154,6 +165,12 @@ _sql("sql_lateral", _C_O, "SELECT c_custkey, t.n FROM customer, LATERAL (SELECT
 _sql("sql_tpch_q3", "customer orders lineitem", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey ORDER BY revenue DESC, l_orderkey LIMIT 10")
 
 
+# Sketches are near the exact counts rather than equal to them.
+_sql("sql_approximate", "lineitem", "SELECT l_returnflag, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS n, abs(percentile_approx(l_extendedprice, 0.5, 1000) - median(l_extendedprice)) <= 0.02 * median(l_extendedprice) AS m FROM lineitem GROUP BY l_returnflag", "SELECT DISTINCT l_returnflag, true AS n, true AS m FROM lineitem")
+_sql("sql_map_struct", "orders", "SELECT o_orderkey, map('key', o_custkey, 'one', 1)['key'] AS k, named_struct('s', o_orderstatus, 'c', o_custkey).s AS s, map_keys(map(o_orderpriority, 1))[0] AS p FROM orders", "SELECT o_orderkey, o_custkey AS k, struct_pack(s := o_orderstatus, c := o_custkey).s AS s, map_keys(MAP {o_orderpriority: 1})[1] AS p FROM orders")
+_sql("sql_pivot", "orders", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus FROM orders) PIVOT (count(*) FOR o_orderstatus IN ('O' AS o, 'F' AS f, 'P' AS p))", "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY 1")
+
+
 @query("sql_join_range", "SELECT event_id, o.o_orderkey FROM events e JOIN orders o ON e.user_id = o.o_custkey AND e.value BETWEEN o.o_totalprice / 100 - 5 AND o.o_totalprice / 100 + 5", "events", "orders")
 def _range(events, orders):
     """A range join on an equal key: the equality deals rows, the range filters them."""
@@ -241,7 +258,7 @@ def _absent(events, customer):
 @query("cdc_map_change_feed", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'D' WHEN 'click' THEN 'U' ELSE 'I' END AS __opcode FROM events WHERE event_type <> 'view'", "events")
 def _feed(events):
     kind = F.when(F.col("event_type") == "purchase", "delete").when(F.col("event_type") == "click", "update_postimage").when(F.col("event_type") == "view", "update_preimage").otherwise("insert")
-    return cdc.from_change_feed(events.select("event_id", kind.alias("_change_type"), F.col("event_id").alias("_commit_version"))).drop("_commit_version")
+    return cdc.from_change_feed(events.select("event_id", kind.alias("_change_type")))
 
 
 @query("chunk_fixed", """SELECT doc_id, k AS chunk_index, substring(text, k * 400 + 1, 512) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(CASE WHEN length(text) <= 512 THEN 1 ELSE ceil((length(text) - 512) / 400) + 1 END AS BIGINT))) AS k FROM documents WHERE length(text) > 0)""", "documents")
@@ -256,7 +273,7 @@ def _recursive(documents):
 
 @query("chunk_semantic", None, "documents")
 def _semantic(documents):
-    return textstages.semantic_chunks(documents, "doc_id", "text", 32, 0.1)
+    return textstages.semantic_chunks(documents.select("doc_id", "text"), "text", 32, 0.1)
 
 
 @query("chunk_fixed_overlap", """SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(part)) AS BIGINT) AS chars FROM (SELECT doc_id, substring(text, k * 150 + 1, 200) AS part FROM (SELECT doc_id, text, unnest(range(0, CAST(CASE WHEN length(text) <= 200 THEN 1 ELSE ceil((length(text) - 200) / 150) + 1 END AS BIGINT))) AS k FROM documents WHERE length(text) > 0)) GROUP BY doc_id""", "documents")
@@ -271,6 +288,13 @@ def _sentences(documents):
     return documents.select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
 
 
+@query("sentence_texts", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
+    SELECT doc_id, CAST(unnest(generate_series(0, len(s) - 1)) AS INT) AS pos, unnest(s) AS sentence FROM s""", "documents")
+def _sentence_texts(documents):
+    """Every sentence, not only how many there are."""
+    return documents.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
 @query("embed", None, "documents")
 def _embed(documents):
     return textstages.embed(documents.select("doc_id", "text"), "text", "vector", 16)
@@ -374,3 +398,26 @@ _streamed("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start,
 _streamed("stream_sliding", "SELECT s AS start, s + INTERVAL 2 HOUR AS \"end\", event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS s FROM events, range(0, 2) r(k)) GROUP BY ALL", lambda e: streams.tumbling(e, "ts", "2 hours", ["event_type"], slide="1 hour"))
 _streamed("stream_session", """WITH a AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
     b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS s FROM a) SELECT min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", event_type, count(*) AS n FROM b GROUP BY event_type, s""", lambda e: streams.sessions(e, "ts", "10 minutes", ["event_type"]))
+
+
+@query("json_infer", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", "events")
+def _json(events):
+    """A JSON column typed by its first rows, parsed over all."""
+    import json
+
+    first = [json.loads(r.props) for r in events.filter("props IS NOT NULL").select("props").limit(1000).collect()]
+    schema = registry.infer_json(first) or "k bigint"
+    return events.select("event_id", F.from_json("props", schema).alias("p")).select("event_id", "p.*")
+
+
+QUERIES["stream_cdc_mirror"] = lambda spark, sf_dir: _mirrored(spark, sf_dir)
+ORACLE_SQL["stream_cdc_mirror"] = f"SELECT user_id, value FROM (SELECT DISTINCT ON (user_id) user_id, value, {_CHANGES} AS op FROM events ORDER BY user_id, event_id DESC) WHERE op <> 'D'"
+
+
+def _mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of changes into a mirror, run until all of it is there."""
+    like = table(spark, sf_dir, "events")
+    changes = _changes(streams.files(spark, f"{sf_dir}/event[s].parquet", like))  # a pattern, as a stream's path is no single file
+    target = scratch(spark, "mirror")
+    streams.mirror(changes, target, ["user_id"], scratch(spark, "offsets"), ["event_id"]).awaitTermination()
+    return spark.read.parquet(target).select("user_id", "value")
