@@ -1,14 +1,14 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-A keyed hash of (document, text, number among equal rows of a task, piece) deals sequences into shards, so one shuffle moves every id once.  In a shard, sequences
-have dense numbers in document order; a keyed Feistel permutation of the shard's numbers, cycle-walking back into their
-range, gives each its slot, and the shard's first slot is the count of those before it.  Records have a fixed stride:
-a header and the ids, padded.  So slot numbers turn into byte offsets, and reading goes on from any slot.
+Every sequence has a number of its own: its task's number and its place in the task.  A keyed Feistel network, walking its cycles back
+into the range of numbers, permutes all of them; a shard is an equal range of permuted numbers, so one shuffle moves every id once, into
+range partitions that are as large as each other.  A partition is sorted by permuted number and streams into a file of records with a
+fixed stride: a header and the ids, padded.  A sequence's global slot is the number of records before it, which file
+sizes tell; so slots turn into shards and byte offsets, and reading goes on from any slot.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, table
-from .tokens import EOS, default_path, encoder, in_slices
+from .tokens import EOS, default_path, encoder, few_rows, in_slices
 
 LENGTH = 512  # ids of a sequence
-SHARD_CHARS = 32_000_000  # characters of text for each shard
-SHARD_RECORDS = 65_536  # records for each shard, on average at most
-HEADER = "<qqIIII"  # document, slot in shard, shard, piece, ids, their CRC-32
-HEADER_SIZE = struct.calcsize(HEADER)
+SHARD_RECORDS = 32_768  # records of a shard, about
+TASK_BITS = 40  # of a number for the place in a task
 ROUNDS = 4
+# A record's header, little-endian: document, slot in the shard, shard, piece, number of ids (the top bit says that the document has no id), their CRC-32.
+HEADER = [("doc", "<i8"), ("slot", "<i8"), ("shard", "<u4"), ("piece", "<u4"), ("n", "<u4"), ("crc", "<u4")]
+HEADER_SIZE = 32
+NO_ID = np.uint32(1 << 31)
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -53,112 +55,134 @@ def permute(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
+def record_type(length: int) -> np.dtype:
+    return np.dtype([*HEADER, ("ids", "<u2", (length,))])
+
+
 def sequences(docs: DataFrame, path: str, shards: int, key: int, length: int = LENGTH, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """doc, piece, shard, ids: whole documents with EOS as runs of at most ``length`` ids (16 bit), and their shard.
+    """doc_id, piece, shard, place, ids: whole documents with EOS as runs of at most ``length`` ids (16 bit), and their permuted number.
 
-    A null text is empty, and so one id long; a null document id is stored as -1; repeated rows are documents of their own.
+    A null text is empty, and so one id long; repeated rows are documents of their own.
     """
     eos = np.array([EOS], np.uint32)
+    raw = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.spark_partition_id().alias("task"))
+    many = max(1, raw.rdd.getNumPartitions()) << TASK_BITS
+    width = -(-many // shards)
 
     def cut(batches):
-        import xxhash
-
-        again: dict[int, int] = {}
-        encode = encoder(path)
+        encode, given = encoder(path), 0
         assert encode.size <= 1 << 16, "ids need more than 16 bits"
-        for batch in batches:
-            ids_of_docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        for batch in few_rows(batches):
+            texts = batch.column(1).to_pylist()
             for at, some in in_slices(texts):
-                row, piece, parts, apart = [], [], [], []
+                row, piece, parts = [], [], []
                 for i, ids in enumerate(encode(some), at):
                     ids = np.concatenate([ids, eos]).astype("<u2")
-                    equal = xxhash.xxh3_64_intdigest(some[i - at].encode(), seed=int(ids_of_docs[i]) & (2**64 - 1))
-                    again[equal] = number = again.get(equal, -1) + 1
                     for p, s in enumerate(range(0, len(ids), length)):
-                        apart.append((equal + number) & (2**64 - 1))
-                        row.append(ids_of_docs[i])
+                        row.append(i)
                         piece.append(p)
                         parts.append(ids[s : s + length].tobytes())
-                row, piece = np.array(row, np.int64), np.array(piece, np.int64)
-                place = _mix64(_mix64(_mix64(np.array(apart, np.uint64)) ^ np.uint64(key)) + piece.astype(np.uint64))
-                shard = ((place >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)  # a range of places for each shard
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(piece, pa.int32()), pa.array(shard.astype(np.int32)), pa.array(parts, pa.binary())], names=["doc_id", "piece", "shard", "ids"])
+                task = int(batch.column(2)[0].as_py()) << TASK_BITS
+                place = permute(task + given + np.arange(len(row)), many, key)
+                given += len(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array((place // width).astype(np.int32)), pa.array(place), pa.array(parts, pa.binary())],
+                    names=["doc_id", "piece", "shard", "place", "ids"],
+                )
 
-    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, shard int, ids binary")
+    return raw.mapInArrow(cut, "doc_id long, piece int, shard int, place long, ids binary")
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 0, length: int = LENGTH, shard_chars: int = SHARD_CHARS, shard_records: int = SHARD_RECORDS) -> int:
-    """Writes ``docs`` to ``path``/shard=K/ and returns the number of shards.
+def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 0, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> int:
+    """Writes ``docs`` to ``path``, a file for each shard that has records, and returns the number of shards.
 
     Files go through Spark's text writer, which commits whole tasks only and reaches any store; its line end is the last
-    byte of every record.  No documents give no shards.
+    byte of every record.  The order follows from ``key`` and from how Spark deals the rows of ``docs`` to tasks: give it a table or a
+    checkpoint, whose rows stay in their places when a task runs again.  No documents give no files.
     """
-    size = docs.agg(F.sum(F.length("text")), F.sum(F.octet_length("text")), F.count("*")).first()
-    records = (size[1] or 0) // length + size[2]  # at most: an id has a byte at least
-    shards = max(1, -(-(size[0] or 0) // shard_chars), -(-records // shard_records))
-    width = HEADER_SIZE + 2 * length
-
-    def records(pdf):
-        import pandas as pd
-
-        # Repeated rows have the same ids, so ties don't matter.
-        pdf = pdf.sort_values(["doc_id", "piece", "ids"], ignore_index=True)
-        n, shard = len(pdf), int(pdf["shard"].iat[0])
-        slot = permute(np.arange(n), n, key * 1_000_003 + shard)
-        out = np.zeros((n, width), np.uint8)
-        for i, (d, p, ids) in enumerate(zip(pdf["doc_id"].tolist(), pdf["piece"].tolist(), pdf["ids"], strict=True)):
-            head = struct.pack(HEADER, d, slot[i], shard, p, len(ids) // 2, zlib.crc32(ids))
-            out[i, : len(head) + len(ids)] = np.frombuffer(head + ids, np.uint8)
-        order = np.argsort(slot)
-        return pd.DataFrame({"shard": shard, "slot": slot[order], "record": [x.tobytes() for x in out[order]]})
-
-    dealt = sequences(docs, tokenizer, shards, key, length).groupBy("shard").applyInPandas(records, "shard int, slot long, record binary")
-    rows = dealt.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("record"))
-    rows.write.partitionBy("shard").option("compression", "none").text(path)
-    return shards
+    size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    records = (size[0] or 0) // (2 * length) + size[1]  # about: an id has two bytes or more in most texts
+    shards = max(1, -(-records // shard_records))
+    kind = record_type(length)
 
+    def pack(batches):
+        given = 0
+        for batch in batches:
+            n = batch.num_rows
+            out, ids = np.zeros(n, kind), [x.as_buffer() for x in batch.column(3)]
+            size = np.fromiter((x.size // 2 for x in ids), np.int64, n)
+            no_id = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            out["doc"] = batch.column(0).fill_null(0).to_numpy()
+            out["slot"] = given + np.arange(n)
+            out["shard"], out["piece"] = batch.column(2).to_numpy(), batch.column(1).to_numpy()
+            out["n"] = size.astype(np.uint32) | np.where(no_id, NO_ID, np.uint32(0))
+            out["crc"] = np.fromiter(map(zlib.crc32, ids), np.uint32, n)
+            padded = np.zeros(n * length, "<u2")
+            padded[np.repeat(np.arange(n) * length - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.frombuffer(b"".join(ids), "<u2")
+            out["ids"] = padded.reshape(n, length)
+            given += n
+            offsets = np.arange(n + 1, dtype=np.int32) * kind.itemsize
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])], names=["record"])
+
+    dealt = sequences(docs, tokenizer, shards, key, length).repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
+    rows = dealt.select("doc_id", "piece", "shard", "ids").mapInArrow(pack, "record binary")
+    rows.select(F.col("record").cast("string").alias("record")).write.option("compression", "none").text(path)
+    return shards
 
-def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shards: list[int] | None = None) -> DataFrame:
-    """doc_id, piece, shard, shard_slot, n_tokens, ids_crc32 and ids of all records, or of those of some shards.
 
-    Files of fixed-length records split anywhere, so a large shard is read by many tasks.
-    """
-    where = ",".join(f"{path}/shard={s}" for s in shards) if shards is not None else f"{path}/shard=*"
+def shard_files(spark: SparkSession, path: str, length: int = LENGTH) -> list[tuple[str, int, int]]:
+    """(file, first global slot, records) of each shard in order: a row a shard from file sizes, without a look inside."""
+    stride = record_type(length).itemsize + 1
+    found = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    files, first = [], 0
+    for name, size in sorted((r["path"], r["length"]) for r in found):
+        files.append((name, first, size // stride))
+        first += size // stride
+    return files
 
-    def parse(record):
-        doc, slot, shard, piece, n, crc = struct.unpack_from(HEADER, record)
-        ids = record[HEADER_SIZE : HEADER_SIZE + 2 * n]
-        if zlib.crc32(ids) != crc:
-            raise ValueError(f"shard {shard}, slot {slot}: the checksum differs")
-        return doc, piece, shard, slot, n, crc, bytearray(ids)
 
-    rows = spark.sparkContext.binaryRecords(where, HEADER_SIZE + 2 * length + 1).map(parse)
-    return spark.createDataFrame(rows, "doc_id long, piece int, shard int, shard_slot long, n_tokens int, ids_crc32 long, ids binary")
+def read_shards(spark: SparkSession, files: list[tuple[str, int, int]], length: int = LENGTH, start: int = 0) -> DataFrame:
+    """doc_id, piece, shard, slot, byte_offset, n_tokens, ids_crc32 and ids of the records from global slot ``start`` on.
 
+    files: what ``shard_files`` gives, or some of it.  Whole files become arrays of records; a checksum that differs raises.
+    """
+    kind = np.dtype([*record_type(length).descr, ("end", "u1")])
+    first = {name: slot for name, slot, n in files if slot + n > start}
+    schema = "doc_id long, piece int, shard int, slot long, byte_offset long, n_tokens int, ids_crc32 long, ids binary"
+    if not first:
+        return spark.createDataFrame([], schema)
 
-def training_order(docs: DataFrame, tokenizer: str, key: int = 0, length: int = LENGTH, path: str | None = None) -> DataFrame:
+    def parse(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                records = np.frombuffer(content.as_buffer(), kind)
+                skip = max(0, start - first[name])
+                for at in range(skip, len(records), 4096):
+                    part = records[at : at + 4096]
+                    n = (part["n"] & ~NO_ID).astype(np.int64)
+                    ids = [x[: 2 * k] for x, k in zip((r.tobytes() for r in part["ids"]), n.tolist(), strict=True)]
+                    if (wrong := np.flatnonzero(np.fromiter(map(zlib.crc32, ids), np.uint32, len(ids)) != part["crc"])).size:
+                        raise ValueError(f"shard {part['shard'][0]}, slot {part['slot'][wrong[0]]}: the checksum differs")
+                    doc = pa.array(part["doc"].astype(np.int64), mask=(part["n"] & NO_ID) > 0)
+                    slot = part["slot"].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [doc, *(pa.array(x) for x in (part["piece"].astype(np.int32), part["shard"].astype(np.int32), first[name] + slot, slot * kind.itemsize, n.astype(np.int32), part["crc"].astype(np.int64))), pa.array(ids, pa.binary())],
+                        names=[f.split()[0] for f in schema.split(", ")],
+                    )
+
+    return spark.read.format("binaryFile").load(list(first)).select("path", "content").mapInArrow(parse, schema)
+
+
+def training_order(docs: DataFrame, tokenizer: str, key: int = 0, length: int = LENGTH, path: str | None = None, shard_records: int = SHARD_RECORDS) -> DataFrame:
     """Writes shards and reads them back: doc_id, piece, n_tokens, ids_crc32, shard, slot (global, from 0), byte_offset.
 
-    No documents give no rows.
+    A row a sequence; other columns of ``docs`` are left out.  Null ids stay null, equal ids and repeated rows are documents
+    of their own, texts of any length are cut, and no documents give no rows.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, piece int, n_tokens int, ids_crc32 long, shard int, slot long, byte_offset long"
-    if docs.isEmpty():
-        return spark.createDataFrame([], schema)
     path = path or new_path(spark, "shards")
-    write_shards(docs, path, tokenizer, key, length)
-    rows = read_shards(spark, path, length).drop("ids")
-    # One number for each shard.
-    counts = sorted((r["shard"], r["n"]) for r in rows.groupBy("shard").agg((F.max("shard_slot") + 1).alias("n")).collect())
-    first, total = [], 0
-    for shard, n in counts:
-        first.append((shard, total))
-        total += n
-    known = spark.createDataFrame(first, "shard int, __first long")
-    stride = HEADER_SIZE + 2 * length + 1
-    out = rows.join(F.broadcast(known), "shard").withColumn("slot", F.col("__first") + F.col("shard_slot")).withColumn("byte_offset", F.col("shard_slot") * stride)
-    return out.select(*[x.split()[0] for x in schema.split(", ")])
+    write_shards(docs, path, tokenizer, key, length, shard_records)
+    return read_shards(spark, shard_files(spark, path, length), length).select("doc_id", "piece", "n_tokens", "ids_crc32", "shard", "slot", "byte_offset")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,23 @@ RUN = re.compile(r"\s (?:\s|\Z)")
 #: Bytes that white space can start with.
 ALONE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+KEPT = 300_000  # words whose ids an encoder remembers, about
+
+
+class Powers:
+    """Keys of byte strings within a buffer: polynomials of their bytes modulo 2**64, and their lengths."""
+
+    def __init__(self):
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def __call__(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        n = len(buf) + 1
+        if len(self.power) < n:
+            with np.errstate(over="ignore"):
+                self.power, self.inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (BASE, pow(BASE, -1, 2**64)))
+        sums = np.zeros(n, np.uint64)
+        np.cumsum(buf * self.power[: len(buf)], out=sums[1:])
+        return (sums[start + size] - sums[start]) * self.inverse[start] + size.astype(np.uint64) * np.uint64(BASE)
 
 
 def default_path() -> str:
@@ -76,7 +93,8 @@ class Encoder:
         for token, i in special.items():
             self.bytes_of[i] = len(token.encode())
         self.size = len(self.bytes_of)
-        self.powers = self.inverse = np.ones(1, np.uint64)
+        self.powers = Powers()
+        self.kept: tuple | None = None  # sorted keys, bytes, their starts, sizes, ids, where those of a word start, how many they are
 
     def whole(self, text: str) -> np.ndarray:
         if self.tokenizer is None:
@@ -85,11 +103,6 @@ class Encoder:
             self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _powers(self, n: int) -> None:
-        if len(self.powers) < n:
-            with np.errstate(over="ignore"):
-                self.powers, self.inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (BASE, pow(BASE, -1, 2**64)))
-
     def _words(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the given different words, and where those of each start and how many they are."""
         # Without a space at the front, or with white space after it, a word may join its neighbour's pieces.
@@ -110,27 +123,56 @@ class Encoder:
             total += len(own)
         return np.concatenate(parts), at, many
 
+    def _remembered(self, key: np.ndarray, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``_words`` gives for different words with sorted keys; frequent ones are remembered from call to call."""
+        if self.kept is None:
+            hit = np.zeros(len(key), bool)
+        else:
+            keys, held, begin, width, old, old_at, old_many = self.kept
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = (keys[place] == key) & (width[place] == size)
+            n, both = size[hit], place[hit]
+            shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            same = buf[np.repeat(start[hit], n) + shift] == held[np.repeat(begin[both], n) + shift]
+            if not same.all():
+                hit[:] = False
+        ids, at, many = self._words(buf, start[~hit], size[~hit])
+        if hit.any():
+            new_at, new_many = at, many
+            at, many = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+            at[~hit], many[~hit] = new_at + len(old), new_many
+            at[hit], many[hit] = old_at[place[hit]], old_many[place[hit]]
+            ids = np.concatenate([old, ids])
+        if 10 * np.count_nonzero(~hit) > len(hit):
+            add = np.flatnonzero(~hit)
+            n = size[add]
+            text = buf[np.repeat(start[add] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            more = (key[add], np.cumsum(n) - n, n, at[add], many[add])
+            if hit.any() and len(keys) + len(add) <= KEPT:
+                more = tuple(np.concatenate(x) for x in ((keys, more[0]), (begin, more[1] + len(held)), (width, n), (old_at, more[3]), (old_many, more[4])))
+                text = np.concatenate([held, text])
+            order = np.argsort(more[0])
+            self.kept = (more[0][order], text, more[1][order], more[2][order], ids, more[3][order], more[4][order])
+        return ids, at, many
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         plain = [SPECIAL not in t and RUN.search(t) is None for t in texts]
         raw = [t.encode() for t, p in zip(texts, plain, strict=True) if p]
         buf = np.frombuffer(b"".join(raw), np.uint8)
         fast: list[np.ndarray] = [np.empty(0, np.uint32)] * len(raw)
         if len(buf):
-            self._powers(len(buf) + 1)
             of_text = np.cumsum([0, *map(len, raw)])
             first = buf == 32
             first[of_text[:-1][np.diff(of_text) > 0]] = True
             start = np.flatnonzero(first)
             size = np.diff(start, append=len(buf))
-            sums = np.zeros(len(buf) + 1, np.uint64)
-            np.cumsum(buf * self.powers[: len(buf)], out=sums[1:])
-            key = (sums[start + size] - sums[start]) * self.inverse[start] + size.astype(np.uint64) * np.uint64(BASE)
+            key = self.powers(buf, start, size)
             order = np.argsort(key)
             new = np.diff(key[order], prepend=~key[order[:1]]) != 0
             word = np.empty(len(key), np.int64)
             word[order] = np.cumsum(new) - 1
             kept = order[new]
-            ids, at, many = self._words(buf, start[kept], size[kept])
+            ids, at, many = self._remembered(key[kept], buf, start[kept], size[kept])
             if not np.array_equal(buf[np.repeat(start[kept][word] - start, size) + np.arange(len(buf))], buf):
                 return [self.whole(t) for t in texts]  # two words share a key
             n = many[word]
@@ -146,7 +188,7 @@ def encoder(path: str) -> Encoder:
     return per_process(("encoder", path), lambda: Encoder(path))
 
 
-def in_slices(texts: list, chars: int = 2_000_000):
+def in_slices(texts: list, chars: int = 1_000_000):
     """Runs (start, texts) with at most so many characters, or one longer text: bounds what is split at a time."""
     at, held = 0, 0
     for i, t in enumerate(texts):
@@ -156,3 +198,10 @@ def in_slices(texts: list, chars: int = 2_000_000):
         held += len(t)
     if texts[at:]:
         yield at, texts[at:]
+
+
+def few_rows(batches, rows: int = 1024):
+    """Arrow batches of at most so many rows: bounds the copies that a task makes of a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
