@@ -1,11 +1,12 @@
 """Telephony audio columns: mu-law and A-law by lookup tables, IMA ADPCM blocks, WAV files in, resampled PCM out.
 
-ADPCM is sequential within a block, so numpy steps through the samples of a block with all blocks of a file side by side.
+ADPCM is sequential within a block, so numpy steps through the samples of a block with the blocks of many files side by side.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 
@@ -14,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
+from .tokens import few_rows, in_slices
 
 ALAW, MULAW, ADPCM = 6, 7, 17  # format tags of WAV files
 NAMES = {ALAW: "alaw", MULAW: "mulaw", ADPCM: "ima_adpcm"}
 RATE, OUT_RATE = 8000, 16000
 BLOCK = 36  # bytes of an ADPCM block: 4 of header, 64 samples of 4 bits
 PAD = 576  # a multiple of BLOCK
+SLICE = 4_000_000  # bytes of files that a task decodes together, or one longer file
 
 
 def mulaw_table() -> np.ndarray:
@@ -111,6 +114,14 @@ def expand(tag: int, data: bytes) -> np.ndarray:
     return (MULAW_TABLE if tag == MULAW else ALAW_TABLE)[np.frombuffer(data, np.uint8)]
 
 
+def expand_all(files: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    """``expand`` of many files: ADPCM steps through whole blocks of all of them at once."""
+    adpcm = [data[: len(data) // BLOCK * BLOCK] for tag, data in files if tag == ADPCM]
+    samples = decode_adpcm(b"".join(adpcm))
+    parts = iter(np.split(samples, np.cumsum([len(x) // BLOCK * (2 * (BLOCK - 4) + 1) for x in adpcm])))
+    return [next(parts) if tag == ADPCM else expand(tag, data) for tag, data in files]
+
+
 def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation between samples; twice the rate, the usual case, needs no positions."""
     if rate == to or not len(samples):
@@ -125,11 +136,26 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.floor(np.interp(at, np.arange(len(samples)), samples)).astype(np.int16)
 
 
+def decoded(files: list[bytes | None], rate: int) -> list[tuple[int, bytes, np.ndarray] | None]:
+    """Format tag, data and resampled PCM of each WAV file; None for what is no readable telephony file."""
+    found: list = []
+    for x in files:
+        try:
+            tag, own, data = read_wav(x)
+            if tag not in NAMES or not own:
+                raise ValueError("no telephony format")
+            found.append((tag, own, data))
+        except (TypeError, ValueError, struct.error):
+            found.append(None)
+    pcm = iter(expand_all([(x[0], x[2]) for x in found if x]))
+    return [x and (x[0], x[2], resample(next(pcm), x[1], rate)) for x in found]
+
+
 def pcm_column(df: DataFrame, media: str = "media", rate: int = OUT_RATE) -> DataFrame:
     """``df`` with ``pcm`` (binary, little-endian 16 bit at ``rate``) and ``samples`` (long) from WAV files.
 
     Both are null where the file is null or no readable telephony WAV file.  Rows come back once each; columns of those
-    names are replaced.
+    names are replaced.  An empty table stays empty; a task holds SLICE bytes of files, or one longer file, decoded.
     """
 
     @F.pandas_udf("struct<pcm:binary,samples:long>")
@@ -137,13 +163,8 @@ def pcm_column(df: DataFrame, media: str = "media", rate: int = OUT_RATE) -> Dat
         import pandas as pd
 
         out = []
-        for x in files:
-            try:
-                tag, own, data = read_wav(bytes(x))
-                pcm = resample(expand(tag, data), own, rate)
-                out.append((pcm.astype("<i2").tobytes(), len(pcm)))
-            except (TypeError, ValueError, struct.error):
-                out.append((None, None))
+        for _, some in in_slices([bytes(x) if x is not None else b"" for x in files], SLICE):
+            out += [(x[2].astype("<i2").tobytes(), len(x[2])) if x else (None, None) for x in decoded(some, rate)]
         return pd.DataFrame(out, columns=["pcm", "samples"])
 
     return df.withColumn("__a", decode(F.col(media))).withColumns({"pcm": F.col("__a.pcm"), "samples": F.col("__a.samples")}).drop("__a")
@@ -154,41 +175,62 @@ def payload(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % PAD or PAD * (not text))
 
 
-def feature(tag: int, rate: int, data: bytes, to: int = OUT_RATE) -> str:
-    """What the stored sound is like: codec, length, loudness, zero crossings, checksum of the resampled PCM."""
-    pcm = resample(expand(tag, data), rate, to)
-    x = pcm.astype(np.float32)
-    rms = int(np.sqrt(np.dot(x, x) / len(x)))
-    crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"codec={NAMES[tag]};rate={to};samples={len(pcm)};peak={int(np.abs(x).max())};rms={rms};crossings={crossings};pcm_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
+def loudness(pcm: np.ndarray) -> int:
+    """Root of the mean square, rounded down; sums of squares stay below 2**53 and so are exact in any order."""
+    total = sum(int(x @ x) for x in (pcm[k : k + (1 << 22)].astype(np.float64) for k in range(0, len(pcm), 1 << 22)))
+    return math.isqrt(total // max(1, len(pcm)))
+
+
+def feature(tag: int, pcm: np.ndarray, rate: int = OUT_RATE) -> str:
+    """What a sound is like: codec, length, loudness, zero crossings, checksum of the resampled PCM; whole numbers only."""
+    below = pcm < 0
+    peak = max(int(pcm.max()), -int(pcm.min())) if len(pcm) else 0
+    return f"codec={NAMES[tag]};rate={rate};samples={len(pcm)};peak={peak};rms={loudness(pcm)};crossings={int(np.count_nonzero(below[1:] != below[:-1]))};pcm_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
+
+
+def encode_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_bytes, media: texts as UTF-8 in telephony WAV files.
+
+    The codec (mu-law, A-law or ADPCM) follows from the text alone, so equal texts give equal files.
+    """
+
+    def encode(batches):
+        for batch in few_rows(batches):
+            padded = [payload(x.as_buffer().to_pybytes()) for x in batch.column(1)]
+            media = pa.array([wav((MULAW, ALAW, ADPCM)[zlib.crc32(x) % 3], x) for x in padded], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), media], names=[key, "n_bytes", "media"])
+
+    raw = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(key, raw.cast("binary").alias("__text"), F.octet_length(raw).cast("long").alias("n_bytes"))
+    return rows.mapInArrow(encode, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def store_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_media: bool = True) -> DataFrame:
-    """One row a document: its text as UTF-8 in a telephony WAV file, read back and decoded.
+def store_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_media: bool = True, keep_pcm: bool = False) -> DataFrame:
+    """One row a document: its text stored in a telephony WAV file, read back from the stored table and decoded.
 
-    The codec (mu-law, A-law or ADPCM) follows from the text alone, so equal texts give equal values.  Columns: key,
-    n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and media itself if
-    ``keep_media``.  A null text is empty; repeated rows come back each.
+    Columns: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; media itself if
+    ``keep_media``, and resampled PCM (little-endian 16 bit, OUT_RATE) if ``keep_pcm``; other columns of ``docs`` are left out.  A null
+    text is empty; repeated rows come back each; no documents give no rows.  A task holds SLICE bytes of files at a time, or one longer file.
     """
-    fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())] + [("media", pa.binary())] * keep_media
-
-    def store(batches):
-        for batch in batches:
-            keys = batch.column(0)
-            rows: list[list] = [[] for _ in fields]
-            for x in batch.column(1):
-                raw = x.as_buffer().to_pybytes()
-                padded = payload(raw)
-                media = wav((MULAW, ALAW, ADPCM)[zlib.crc32(padded) % 3], padded)
-                tag, rate, back = read_wav(media)
-                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(tag, rate, back), media)
-                for at, value in zip(rows, row, strict=False):
-                    at.append(value)
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(r, t) for r, (_, t) in zip(rows, fields, strict=True))], names=[key, *(n for n, _ in fields)])
+    fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    fields += [("media", pa.binary())] * keep_media + [("pcm", pa.binary())] * keep_pcm
+    stored = written(encode_texts(docs, text, key), "media")
+
+    def read(batches):
+        for batch in few_rows(batches, 256):
+            files = [x.as_buffer().to_pybytes() for x in batch.column(2)]
+            for at, some in in_slices(files, SLICE):
+                rows: list[list] = [[] for _ in fields[1:]]
+                for media, (tag, back, pcm) in zip(some, decoded(some, OUT_RATE), strict=True):
+                    row = [len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(tag, pcm)]
+                    for column, value in zip(rows, row + [media] * keep_media + [pcm.astype("<i2").tobytes() if keep_pcm else b""] * keep_pcm, strict=True):
+                        column.append(value)
+                part = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(r, t) for r, (_, t) in zip(rows, fields[1:], strict=True))], names=[key, *(n for n, _ in fields)])
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {kinds[t]}" for n, t in fields)
-    return docs.select(key, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")).mapInArrow(store, schema)
+    return stored.mapInArrow(read, schema)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
