@@ -2,7 +2,8 @@
 
 Text statistics are built-in expressions inside each row, so the scan needs no shuffle.  Sequential covering learns from
 the statistics of labelled documents: a rule grows by the threshold with the best information gain, is pruned on
-documents held back, and is kept if it rejects almost nothing good; what it covers leaves, and the next rule starts.
+documents held back, and is kept if it rejects almost nothing good; what it covers leaves, and the next rule starts.  A rule that
+would reject too much is refined by further thresholds, and skipped if that doesn't help.
 The ordered rules become one conditional expression.
 """
 
@@ -87,9 +88,10 @@ class Rule:
         return out
 
 
-def _grow(bad: list[dict], good: list[dict], cuts: dict[str, list[float]], most: int) -> Rule:
-    rule, p, n = Rule(), bad, good
-    while n and len(rule.terms) < most:
+def _grow(bad: list[dict], good: list[dict], cuts: dict[str, list[float]], most: int, first: Rule | None = None) -> Rule:
+    rule = Rule(list(first.terms) if first else [])
+    p, n = [r for r in bad if rule.covers(r)], [r for r in good if rule.covers(r)]
+    while p and n and len(rule.terms) < most:
         best, before = None, math.log2(len(p) / (len(p) + len(n)))
         for f, at in cuts.items():
             for t in at:
@@ -108,35 +110,54 @@ def learn(rows: list[dict], precision: float = 0.995, most_rules: int = 12, most
     """An ordered list of rules that reject.
 
     rows: FEATURES and ``bad``.  Every third row prunes, the others grow.  A rule stays if at least ``precision`` of
-    the labelled rows that it still covers are bad; the first that falls short ends the list.  No rows of one
-    kind give no rules.
+    the labelled rows that it still covers, and three of them, are bad.  One that falls short is tried without pruning and then grown on
+    all rows by up to ``most_terms`` more; if that falls short too, the bad rows that it covers guide no further rule.  No
+    rows of one kind give no rules.
     """
     grow, prune = [r for i, r in enumerate(rows) if i % 3], rows[::3]
     found: list[Rule] = []
+    guides = [r for r in grow if r["bad"]]
     while len(found) < most_rules:
-        bad, good = [r for r in grow if r["bad"]], [r for r in grow if not r["bad"]]
-        if not bad or not good:
+        good = [r for r in grow if not r["bad"]]
+        if not guides or not good:
             break
         at = {}
         for f in FEATURES:
             # Thresholds lie between values, half of them among those of bad rows.
-            values, both = sorted(r[f] for r in bad), sorted(r[f] for r in grow)
+            values, both = sorted(r[f] for r in guides), sorted(r[f] for r in guides + good)
             at[f] = sorted({v[(len(v) - 1) * k // cuts] for v in (values, both) for k in range(cuts + 1)})
-        rule = _grow(bad, good, at, most_terms)
-        worth = lambda r: (lambda c: (sum(x["bad"] for x in c) - sum(not x["bad"] for x in c)) / max(1, len(c)))([x for x in prune if r.covers(x)])
+
+        def worth(rule: Rule) -> float:
+            covered = [x["bad"] for x in prune if rule.covers(x)]
+            return (2 * sum(covered) - len(covered)) / max(1, len(covered))
+
+        def sure(rule: Rule, rows=rows) -> bool:
+            held = [r["bad"] for r in rows if rule.covers(r)]
+            return bool(rule.terms) and sum(held) >= max(3, precision * len(held))
+
+        grown = rule = _grow(guides, good, at, most_terms)
         while len(rule.terms) > 1 and worth(shorter := Rule(rule.terms[:-1])) >= worth(rule):
             rule = shorter
-        held = [r for r in rows if rule.covers(r)]
-        if not rule.terms or not held or sum(r["bad"] for r in held) < max(3, precision * len(held)):
-            break
-        found.append(rule)
-        rows = [r for r in rows if not rule.covers(r)]
-        grow, prune = [r for r in grow if not rule.covers(r)], [r for r in prune if not rule.covers(r)]
+        if not sure(rule):
+            rule = grown
+        if not sure(rule):
+            rule = _grow([r for r in rows if r["bad"]], [r for r in rows if not r["bad"]], at, 2 * most_terms, grown)
+        if not grown.terms:
+            break  # no threshold tells these from the good ones
+        if sure(rule):
+            found.append(rule)
+            rows, grow, prune = ([r for r in x if not rule.covers(r)] for x in (rows, grow, prune))
+            guides = [r for r in guides if not rule.covers(r)]
+        else:
+            guides = [r for r in guides if not grown.covers(r)]
     return found
 
 
 def decision_list(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = LABELLED) -> list[Rule]:
-    """Learns from at most ``limit`` labelled documents; label 0 is bad.  Null keys and labels are ignored."""
+    """Learns from at most ``limit`` labelled documents; label 0 is bad.
+
+    Null keys and labels are ignored, several labels of a document count each, and no labels give no rules.
+    """
     chosen = labels.select(key, label).dropna().orderBy(F.xxhash64(F.col(key)), key, label).limit(limit)
     # At most ``limit`` ids: small enough to send to every task.
     stats = docs.select(key, text).join(F.broadcast(chosen), key).select(key, label, text_stats(F.col(text)).alias("s"))
@@ -161,6 +182,6 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep, repeated rows each; null, empty and short texts fail the base rules and go."""
     columns = docs.columns
     return quality(docs.select("*"), decision_list(docs, table(spark, sf_dir, "labels"))).filter("kept").select(*columns)
