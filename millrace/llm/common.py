@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(spark, "_millrace_folder", None) or tempfile.mkdtemp(prefix="spark-")
         spark._millrace_folder = folder
@@ -34,12 +34,40 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used, deleted when the session's JVM ends."""
     path = f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs, at = _file(spark, path)
+    fs.deleteOnExit(at)
+    _made(spark).append(path)
     return path
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _made(spark: SparkSession) -> list[str]:
+    """Paths that ``new_path`` has given in this application."""
+    context = spark.sparkContext
+    if not hasattr(context, "_millrace_made"):
+        context._millrace_made = []
+    return context._millrace_made
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``written``, and then the folders made since ``since`` (a length of ``_made``) are deleted: nothing reads them again."""
+    made = _made(df.sparkSession)
+    out = written(df, name)
+    for path in made[since:-1]:
+        fs, at = _file(df.sparkSession, path)
+        fs.delete(at, True)
+    del made[since:-1]
+    return out
+
+
+def mark(spark: SparkSession) -> int:
+    return len(_made(spark))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, table, text_key, written
+from .tokens import few_rows
 
 WINDOW, KMER = 400, 100
 #: Words of a passage that the pipeline's stage removes (any of over 50), and of an anchor.
@@ -139,7 +140,9 @@ def _store(df: DataFrame, keys: list[str]) -> DataFrame:
     name = f"millrace_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(parts, *keys).option("path", new_path(spark, "texts")).option("compression", "zstd").saveAsTable(name)
-    return spark.read.table(name)
+    held = spark.read.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry; the files stay, and the plan has read what it needs of the entry
+    return held
 
 
 def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> DataFrame:
@@ -202,8 +205,11 @@ def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> Dat
                     for context, places in seen.items():
                         lo, hi = max(0, lead - places[0]), min(width, lead + size - places[0])
                         if len(places) > 1 and hi - lo >= window:
-                            for p in places:
-                                for column, value in zip(out, (i, None, p, None, p - lead + lo, p - lead + hi, None), strict=True):
+                            first = np.sort(np.array(places)) - lead + lo
+                            new = np.flatnonzero(np.diff(first, prepend=first[0] - width - 1) > hi - lo)  # runs that touch are one
+                            last = np.append(first[new[1:] - 1], first[-1]) + hi - lo
+                            for begin, end in zip(first[new].tolist(), last.tolist(), strict=True):
+                                for column, value in zip(out, (i, None, begin, None, begin, end, None), strict=True):
                                     column.append(value)
                         digest = xxhash.xxh3_64_intdigest(context + lo.to_bytes(4, "little") + hi.to_bytes(4, "little")) - (1 << 63)
                         for column, value in zip(out, (i, entry["h"], places[0], None if digest in sent else context[10 if words else 2 :], lo, hi, digest), strict=True):
@@ -278,12 +284,14 @@ def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> Dat
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "text", keep: bool = True, words: int | None = None, word_kmer: int = WORD_KMER) -> DataFrame:
-    """A row for each different text: __k1, __k2, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if ``keep``.
+    """A row for each different text: __k1, __k2, n_bytes, n_removed, n_spans, kept_sha256, and kept if ``keep``.
+
+    kept is what is left as text, without the bytes of characters that a cut has broken.
 
     Removed is each byte covered by a string of ``window`` bytes that starts anywhere else too, in the same text or another
     row; a text that several rows have is removed as a whole if it is long enough.  With ``words``, so is each
     byte from the first to the last of that many words in a row that stand anywhere else, whatever white space is between them.  Null and
-    empty texts count as empty.  Memory: a task holds ``2 * window - kmer`` bytes, or words, for each different context of its most
+    empty texts count as empty, other columns are left out, and no documents give no rows.  Memory: a task holds one text and ``2 * window - kmer`` bytes, or words, for each different context of its most
     frequent anchor.
     """
     keys = ["__k1", "__k2"]
@@ -296,8 +304,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
     spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "words")).alias("spans"))
 
     def cut(batches):
-        fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep
-        for batch in batches:
+        fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * keep
+        for batch in few_rows(batches):
             out: list[list] = [[] for _ in fields]
             for x, n, covered in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 raw = x.as_buffer().to_pybytes()
@@ -315,16 +323,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     removed = int(gone.sum())
                     runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                for column, value in zip(out, (len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept), strict=False):
+                for column, value in zip(out, (len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep else ""), strict=False):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True))], names=[*keys, *(f for f, _ in fields)])
 
-    schema = "__k1 long, __k2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
+    schema = "__k1 long, __k2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep
     return texts.select(*keys, "text", "n").join(spans.hint("shuffle_hash"), keys, "left").mapInArrow(cut, schema)
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row a document: key, n_bytes, n_removed, n_spans, kept_sha256; repeated rows come back each."""
+    """One row a document: key, n_bytes, n_removed, n_spans, kept_sha256; repeated rows come back each, other columns are left out."""
     found = dedup(docs, text=text, keep=False, **options)
     return docs.select(key, *text_key(F.coalesce(F.col(text), F.lit("")))).join(found, ["__k1", "__k2"], "left").drop("__k1", "__k2")
 
@@ -334,8 +342,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated strings and passages of WORDS words; bytes of a character that a cut leaves behind go too."""
-    found = dedup(docs, words=WORDS).select("__k1", "__k2", "n_removed", "kept")
+    """Documents without their repeated strings of WINDOW bytes and passages of WORDS words; every row comes back once.
+
+    A null text stays null, what repeated rows share is removed from each, and bytes of a character that a cut leaves behind go too.  n_chars
+    follows the text where ``docs`` has it; other columns stay.
+    """
+    found = dedup(docs, words=WORDS).select("__k1", "__k2", F.col("n_removed").alias("__n"), F.col("kept").alias("__kept"))
     rows = docs.select("*", *text_key(F.coalesce("text", F.lit("")))).join(found, ["__k1", "__k2"])
-    kept = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
-    return rows.withColumn("text", kept).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows = rows.withColumn("text", F.when(F.col("__n") == 0, F.col("text")).otherwise(F.col("__kept")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
