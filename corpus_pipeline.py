@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
-from millrace.llm.common import table, written
+from millrace.llm.common import mark, settled, table
 
 STAGES = [
     ("quality rules", quality_rules.stage),
@@ -20,10 +20,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents table, each result written before the next stage reads it."""
+    """The stages applied to the documents table, each result written before the next stage reads it.
+
+    What a stage has written for itself goes when its result is there.  Nulls, repeated rows and empty texts are as each stage says; no
+    documents give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        since = mark(spark)
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage{k}")
+            docs = settled(docs, f"stage{k}", since)
     return docs
