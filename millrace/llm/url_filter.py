@@ -2,7 +2,8 @@
 
 Every URL expands into (host suffix, path prefix) expressions, for the label counts and path lengths that rules have.
 Expressions meet rules in an equi-join on the first 32 bits of their SHA-256; the full digest confirms, and the longest
-rule wins.  Expansion runs over distinct (host, path) pairs, so a hot host is aggregated before it is shuffled.
+rule wins.  Expansion runs over distinct (host, path) pairs, so a hot host is aggregated before it is shuffled.  What was found is
+written before pages are joined with it: both sides are plain exchanges then, and Spark can split the rows of a hot URL.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_columns
+from .common import table, with_columns, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"://([^/?#]*)([^?#]*)"
@@ -46,7 +47,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     pages = with_columns(pages, {"host": host, "path": path})
     labels = F.split("host", r"\.")
     pairs = (
-        pages.select("host", "path").distinct()
+        pages.filter("host <> ''").select("host", "path").distinct()
         .select("host", "path", F.explode(F.filter(counts, lambda n: n <= F.size(labels))).alias("n"))
         .select("host", "path", F.array_join(F.slice(labels, -F.col("n"), F.col("n")), ".").alias("suffix"))
         .select("host", "path", "suffix", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("n"))
@@ -64,6 +65,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
         pairs.join(known, "short").filter(F.col("digest") == F.col("rule_digest"))
         .groupBy("host", "path").agg(F.max("found").alias("__found"))
     )
+    best = written(best, "verdicts")
     fallback = F.when(F.col("host") == "", no_host).otherwise(default)
     out = pages.join(best, ["host", "path"], "left")
     kept = [F.col(c) for c in pages.columns if c.lower() not in ("rule", "verdict")]
