@@ -81,13 +81,14 @@ def close(size: np.ndarray, p: np.ndarray) -> None:
             p[i], due = (1.0, up) if abs(up) < abs(down) else (0.0, down)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 0, key: str = "doc_id") -> DataFrame:
-    """Copies of documents: key, size, source_size, target, taken, copies and the columns of ``docs`` that start with ``__``.
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 0, key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
+    """Copies of documents: key, size, source_size, target, taken, copies and the columns in ``carry``; others are left out.
 
-    docs: key, source, text.  size counts words; a null text has none, and a source without words takes nothing.  Draws
-    follow from the seed and the rows alone, so reruns agree; repeated rows are documents of their own.
+    docs: key, source, text.  size counts words; a null or empty text has none and is never taken, and a source without words takes nothing.
+    Draws follow from the seed and the rows alone, so reruns agree; repeated rows are documents of their own, and which of equal ones is
+    taken makes no difference.  A null source is a source.  Texts of any length are counted as a whole; no documents give no rows.
     """
-    extra = [c for c in docs.columns if c.startswith("__")]
+    extra = list(carry)
     sizes = written(docs.select(key, "source", words(F.col("text")).alias("size"), F.xxhash64(key, "text").alias("__h"), *extra), "sizes")
     due = targets(sizes, weights, most)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -141,7 +142,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, each as often as the mix takes it."""
+    """Documents, each as often as the mix takes it; null and empty texts are never taken."""
     held = written(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    taken = mix(held.select("doc_id", "source", "text", "__row")).select("__row", "copies").filter("copies > 0")
+    taken = mix(held, carry=["__row"]).select("__row", "copies").filter("copies > 0")
     return held.join(taken, "__row").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import EOS, default_path, encoder, in_slices
+from .tokens import EOS, default_path, encoder, few_rows, in_slices
 
 CAPACITY = 1024
 #: About so many short pieces are packed together.
@@ -26,13 +26,14 @@ CELL = 20_000
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, piece, start, length, ids_crc32: documents as token ids with EOS at their end, cut where longer than ``capacity``.
 
-    Only the first piece may be shorter than ``capacity``.  A null text is empty, and so one id long.
+    Only the first piece may be shorter than ``capacity``.  A null or empty text is one id long, repeated rows come back each, other columns
+    are left out, and no documents give no rows.  A task holds the ids of one text, or of some 1,000,000 characters.
     """
     eos = np.array([EOS], np.uint32)
 
     def cut(batches):
         encode = encoder(path)
-        for batch in batches:
+        for batch in few_rows(batches):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             rows, piece, start, length, crc = [], [], [], [], []
             for at, some in in_slices(texts):
@@ -89,8 +90,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, cell: int = CELL, key: str
     """``pieces`` with sequence_id and offset: gapless sequences of at most ``capacity`` tokens.
 
     pieces: key, piece, length and others; written to the shared folder first, so that numbers of rows stay the same.
-    Repeated rows are packed each; no rows give no rows.
+    Repeated rows are packed each; no rows give no rows.  Columns named sequence_id or offset are replaced, and __row and __cell left out.
     """
+    pieces = pieces.select(*[c for c in pieces.columns if c.lower() not in ("sequence_id", "offset", "__row", "__cell")])
     held = written(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     short = held.filter(F.col("length") < capacity)
     cells = max(1, round(short.count() / cell))
@@ -114,5 +116,5 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed."""
+    """Pieces of documents, packed: one row a piece, of null and empty texts and repeated rows too."""
     return pack(token_pieces(docs, default_path()))
