@@ -11,7 +11,8 @@ from .common import written
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long).  Returns u, v: every node but the smallest of its component, and that smallest.
 
-    Rounds grow with the logarithm of the longest path.  The driver sees a count and a checksum each round.
+    Rounds grow with the logarithm of the longest path.  The driver sees a count and a checksum each round.  Minima are written
+    before they are joined, so that both sides of a join are plain exchanges and Spark can split the rows of a hot centre.
     """
     ordered = lambda df: df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     held, before = written(ordered(edges), "edges"), None
@@ -21,9 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
             return held
         before = now
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = ordered(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(ordered(large), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         held = written(ordered(small), "edges")

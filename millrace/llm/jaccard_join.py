@@ -1,10 +1,14 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
-Every text has a label path in each of TREES prefix tries: minima of random hashes over its word shingles.  Matched prefixes
-are shortened from DEPTH labels until pairs at the threshold meet in some tree with the target recall.  Texts below the
-same prefix are linked to the smallest of them, so links grow with texts and not with pairs.  Connected texts form a region, and
-tasks verify all pairs of a region exactly: shared shingles come from products of incidence matrices, block by block, so a large
-region is many tasks and no pair is ever a row.  Exact copies are one text from the start.
+Every text has a label path in each of TREES prefix tries: minima of random hashes over its word shingles.  A path is one number, so
+that numbers sort as the trie does and a shift shortens a prefix by a label.  From DEPTH labels on, prefixes are shortened label by label until pairs
+at the threshold share one in some tree with the target recall.  Texts below the same prefix are compared with the smallest of them by
+their signatures: a clear match settles a text there, and what is left is compared with each other as soon as that is few enough for one task.
+Links so found connect regions, and any similar pair that shares a prefix is within one (see ``linked``).
+
+Tasks verify the pairs of a region exactly: shared shingles come from products of incidence matrices, block by block, so a large region
+is many tasks and no pair is ever a row.  In a large region, what is so near to its first text that any two must be similar needs no
+comparison with its like.  Exact copies are one text from the start.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 40, 10, 0.999
+LABEL = 8  # bits of a label in a path and a signature
+LINKED, SETTLED = 0.3, 0.5  # shares of equal labels that link texts, and that settle a text below a prefix
+FEW = 512  # texts below a prefix whose signatures meet in one task
 BLOCK = 1024  # texts of a region that one task compares with as many
 COLUMNS = 2048  # shingles of an incidence matrix at a time
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -55,14 +62,17 @@ def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(out + np.uint64(size)))
 
 
-def forest_keys(texts: list[bytes], trees: int, depth: int, seed: int = 1, n: int = SHINGLE) -> list[np.ndarray]:
-    """For each text the hash of its label path in each tree; nothing for texts without words."""
+def forest_paths(texts: list[bytes], trees: int, deepest: int, depth: int, seed: int = 1, n: int = SHINGLE) -> tuple[list[np.ndarray], list[bytes]]:
+    """For each text its label path in each tree and the labels themselves; nothing for texts without words.
+
+    A path has a hash of the tree and the first ``depth`` labels in front, and then label after label up to ``deepest``.
+    """
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 2**32, trees * depth, np.uint32) | np.uint32(1)
-    b = rng.integers(0, 2**32, trees * depth, np.uint32)
+    a = rng.integers(0, 2**32, trees * deepest, np.uint32) | np.uint32(1)
+    b = rng.integers(0, 2**32, trees * deepest, np.uint32)
     step = 256
-    buffer = np.empty((step, trees * depth), np.uint32)
-    least = np.empty((len(texts), trees * depth), np.uint32)
+    buffer = np.empty((step, trees * deepest), np.uint32)
+    least = np.empty((len(texts), trees * deepest), np.uint32)
     have = np.zeros(len(texts), bool)
     for i, text in enumerate(texts):
         s = (shingles(text, n) >> np.uint64(32)).astype(np.uint32)
@@ -77,11 +87,16 @@ def forest_keys(texts: list[bytes], trees: int, depth: int, seed: int = 1, n: in
             low = now if low is None else np.minimum(low, now)
         least[i] = low
     path = np.zeros((len(texts), trees), np.uint64) + np.arange(1, trees + 1, dtype=np.uint64)
-    labels = least.reshape(len(texts), trees, depth)
+    labels = least.reshape(len(texts), trees, deepest)
     for k in range(depth):
         path = _mix(path * PRIME + labels[:, :, k])
+    short = (_mix(labels[:, :, depth:].astype(np.uint64)) & np.uint64((1 << LABEL) - 1)).astype(np.uint64)
+    path >>= np.uint64(1 + LABEL * (deepest - depth))
+    for k in range(deepest - depth):
+        path = path << np.uint64(LABEL) | short[:, :, k]
+    signature = (_mix(least.astype(np.uint64)) & np.uint64((1 << LABEL) - 1)).astype(np.uint8)
     keys = path.astype(np.int64)
-    return [keys[i] if have[i] else keys[i, :0] for i in range(len(texts))]
+    return [keys[i] if have[i] else keys[i, :0] for i in range(len(texts))], [signature[i].tobytes() if have[i] else b"" for i in range(len(texts))]
 
 
 def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
@@ -122,12 +137,61 @@ def _roots(close: np.ndarray) -> np.ndarray:
         root = now
 
 
+def linked(rows: DataFrame, signatures: DataFrame, few: int | None = None) -> DataFrame:
+    """u, v: texts whose signatures agree.
+
+    rows: level, prefix, t; signatures: t, labels.  Below each prefix the smallest text leads, and one that agrees with it in
+    SETTLED of the labels is done there.  What is left chooses a leader anew, or, if no more than ``few`` are left, all of them are
+    compared.  So two similar texts x and y below a prefix are compared with each other, unless one of them, say x, has settled with a leader
+    z: then 1 - J(y, z) <= 1 - J(x, z) + 0.2, so that y agrees with z in LINKED of the labels at least, and both are linked to it.
+    """
+    few, found = few or FEW, []
+
+    def compared(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("t", ignore_index=True)
+        x = np.stack([np.frombuffer(v, np.uint8) for v in pdf["labels"]])
+        close = np.eye(len(x), dtype=bool)
+        for i in range(len(x) - 1):
+            close[i, i + 1 :] = (x[i] == x[i + 1 :]).mean(axis=1) >= LINKED
+        t = pdf["t"].to_numpy()
+        out = pd.DataFrame({"u": t, "v": t[_roots(close | close.T)]})
+        return out[out["u"] != out["v"]]
+
+    while True:
+        leads = written(rows.groupBy("level", "prefix").agg(F.min("t").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leads")
+        if leads.isEmpty():
+            break
+        below = rows.join(leads, ["level", "prefix"]).filter("t <> lead")
+        pairs = below.select("t", "lead").distinct()
+        both = pairs.join(signatures, "t").join(signatures.select(F.col("t").alias("lead"), F.col("labels").alias("others")), "lead")
+
+        def agree(batches):
+            for batch in batches:
+                x, y = (np.frombuffer(b"".join(v.as_buffer() for v in batch.column(c)), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(axis=1))], names=["t", "lead", "share"])
+
+        tested = written(both.select("t", "lead", "labels", "others").mapInArrow(agree, "t long, lead long, share double"), "tested")
+        found.append(tested.filter(F.col("share") >= LINKED).select(F.col("t").alias("u"), F.col("lead").alias("v")))
+        rows = written(below.join(tested.filter(F.col("share") < SETTLED), ["t", "lead"]).select("level", "prefix", "t"), "below")
+        sizes = written(rows.groupBy("level", "prefix").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        small = rows.join(sizes.filter(F.col("n") <= few).drop("n"), ["level", "prefix"]).join(signatures, "t")
+        found.append(written(small.groupBy("level", "prefix").applyInPandas(compared, "u long, v long"), "compared"))
+        rows = rows.join(sizes.filter(F.col("n") > few).drop("n"), ["level", "prefix"])
+    out = found[0] if found else signatures.select(F.col("t").alias("u"), F.col("t").alias("v")).limit(0)
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, trees: int = TREES, deepest: int = DEPTH, recall: float = RECALL, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each different text: __k1, __k2 (its key), rep (smallest id), class_id, n_links, n_copies.
 
     class_id is the smallest id of all documents connected by links and equal texts; n_links counts the other different
     texts that are similar; n_copies counts the other documents with the same text.  Texts without words are linked to
-    none.  A null text is empty; ids may be null, and a class whose ids are all null has the id null.
+    none; a text of fewer than ``n`` words is one shingle.  A null text is empty; ids may be null, and a class whose ids are all null has
+    the id null.  Texts of any length are compared as a whole: a task holds ``2 * block`` of them at most.  No documents give no rows.
     """
     depth = depth_for(similarity, trees, deepest, recall)
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -135,27 +199,55 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, t
 
     def label(batches):
         for batch in batches:
-            texts = [x.as_buffer().to_pybytes() for x in batch.column(3)]
-            paths = forest_keys(texts, trees, depth, n=n)
-            offsets = np.cumsum([0, *map(len, paths)]).astype(np.int32)
-            flat = np.concatenate(paths) if paths else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "__k1", "__k2", "paths"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                paths, labels = forest_paths([x.as_buffer().to_pybytes() for x in part.column(3)], trees, deepest, depth, n=n)
+                offsets = np.cumsum([0, *map(len, paths)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(paths))), pa.array(labels, pa.binary())], names=["id", "__k1", "__k2", "paths", "labels"])
 
     kind = docs.schema[key].dataType.simpleString()
-    labelled = keyed.withColumn("text", F.col("text").cast("binary")).mapInArrow(label, f"id {kind}, __k1 long, __k2 int, paths array<long>")
-    different = labelled.groupBy("__k1", "__k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("paths").alias("paths"))
+    labelled = keyed.withColumn("text", F.col("text").cast("binary")).mapInArrow(label, f"id {kind}, __k1 long, __k2 int, paths array<long>, labels binary")
+    different = labelled.groupBy("__k1", "__k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("paths").alias("paths"), F.first("labels").alias("labels"))
     different = written(different.withColumn("t", F.monotonically_increasing_id()), "texts")
 
-    paths = different.select("t", F.explode("paths").alias("path"))
-    met = paths.groupBy("path").agg(F.min("t").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = components(paths.join(met, "path").filter("t <> lead").select(F.col("t").alias("u"), F.col("lead").alias("v")))
-
-    members = stars.select(F.col("u").alias("t"), F.col("v").alias("region")).unionByName(stars.select(F.col("v").alias("t"), F.col("v").alias("region")).distinct())
-    sizes = members.groupBy("region").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = members.join(sizes, "region").join(different.drop("paths", "n"), "t").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
-    members = written(members, "members")
+    # Only paths whose shortest prefix another text has go on.
+    shift = LABEL * (deepest - depth)
+    paths = different.select("t", F.explode("paths").alias("path")).withColumn("short", F.shiftright("path", shift))
+    met = written(paths.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "met")
+    shared = written(paths.join(met, "short").select("t", "path"), "shared")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(shift), F.lit(LABEL)))
+    rows = shared.select("t", "path", levels.alias("level")).select("level", F.expr("shiftright(path, level)").alias("prefix"), "t")
+    signatures = written(different.join(shared.select("t").distinct(), "t").select("t", "labels"), "signatures")
+    stars = components(linked(rows, signatures))
+
+    ends = stars.select(F.col("u").alias("t"), F.col("v").alias("region")).unionByName(stars.select(F.col("v").alias("t"), F.col("v").alias("region")).distinct())
+    sizes = written(ends.groupBy("region").agg(F.count("*").alias("size")), "sizes")
+    members = written(ends.join(sizes, "region").join(different.drop("paths", "labels", "n"), "t"), "members")
     texts = keyed.join(members.hint("shuffle_hash"), ["__k1", "__k2"]).filter(F.col("id").eqNullSafe(F.col("rep")))
-    pairs = texts.select("t", "region", "block", F.col("text").cast("binary").alias("text"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks")
+    texts = texts.groupBy("t").agg(F.first("region").alias("region"), F.first("size").alias("size"), F.first(F.col("text").cast("binary")).alias("text"))
+    texts = written(texts, "members_texts")
+
+    # Of a large region, the texts within half of the distance from its first one: any two of them are similar.
+    large = texts.filter(F.col("size") > block)
+    first = large.filter("t = region").select("region", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block).cast("int") - 1)).alias("part"), F.lit(True).alias("first"), "t", "text")
+    dealt = large.withColumn("part", F.pmod(F.xxhash64("t"), F.ceil(F.col("size") / block)).cast("int"))
+
+    def near(pdf):
+        sets = [shingles(bytes(x), n) for x in pdf["text"]]
+        lead = int(np.flatnonzero(pdf["first"])[0])
+        shared = np.array([np.intersect1d(x, sets[lead], assume_unique=True).size for x in sets])
+        union = np.array([len(x) for x in sets]) + len(sets[lead]) - shared
+        return pdf[["t"]].assign(core=shared >= (1 + similarity) / 2 * union + 1e-9)[~pdf["first"]]
+
+    core = dealt.select("region", "part", F.lit(False).alias("first"), "t", "text").unionByName(first).groupBy("region", "part").applyInPandas(near, "t long, core boolean")
+    core = written(core.filter("core"), "core")
+    held = texts.join(core, "t", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    sides = written(held.groupBy("region", "core").agg(F.count("*").alias("k")).groupBy("region").agg(F.coalesce(F.sum(F.when(F.col("core"), F.col("k"))), F.lit(0)).alias("cores"), F.coalesce(F.sum(F.when(~F.col("core"), F.col("k"))), F.lit(0)).alias("rest")), "sides")
+    held = held.join(sides, "region").withColumns({"rests": F.ceil(F.col("rest") / block).cast("int"), "blocks": F.ceil(F.col("rest") / block).cast("int") + F.ceil(F.col("cores") / block).cast("int")})
+    own = F.when(F.col("core"), F.col("rests") + F.pmod(F.xxhash64("t"), F.col("blocks") - F.col("rests"))).otherwise(F.pmod(F.xxhash64("t"), F.col("rests"))).cast("int")
+    # Core blocks come last and meet the others only.
+    others = F.when(F.col("core"), F.when(F.col("rests") > 0, F.sequence(F.lit(0), F.col("rests") - 1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = held.withColumn("block", own).select("t", "region", "block", "text", "cores", "core", "blocks", F.explode(others).alias("other"))
     pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
 
     def verify(pdf):
@@ -171,20 +263,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, t
         t = pdf["t"].to_numpy()
         return pdf[["t", "blocks"]].assign(links=close.sum(axis=1) - 1, root=t[_roots(close)])
 
-    verified = written(pairs.groupBy("region", "lo", "hi").applyInPandas(verify, "t long, blocks int, links long, root long"), "verified")
+    # Few bytes, much work: as many tasks as there are partitions.
+    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "region", "lo", "hi")
+    verified = pairs.groupBy("region", "lo", "hi").applyInPandas(verify, "t long, blocks int, links long, root long")
+    # The first text is in the core, if there is one.
+    alike = held.filter("core").select("t", "blocks", (F.col("cores") - 1).alias("links"), F.col("region").alias("root"))
+    verified = written(verified.unionByName(alike), "verified")
     links = verified.groupBy("t").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
     across = verified.filter("blocks > 1 AND t <> root").select(F.col("t").alias("u"), F.col("root").alias("v"))
     if not across.isEmpty():  # a region of several blocks is connected by what its tasks found
         links = links.join(components(across).select(F.col("u").alias("t"), F.col("v").alias("top")), "t", "left").withColumn("root", F.when(F.col("blocks") > 1, F.coalesce("top", "t")).otherwise(F.col("root"))).drop("top")
-    known = different.drop("paths").join(links.drop("blocks"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    known = different.drop("paths", "labels").join(links.drop("blocks"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     known = written(known, "known")
-    lowest = known.filter("links > 0").groupBy("root").agg(F.min("rep").alias("lowest"))
+    lowest = written(known.filter("links > 0").groupBy("root").agg(F.min("rep").alias("lowest")), "lowest")
     out = known.join(lowest, "root", "left")
     return out.select("__k1", "__k2", "rep", F.when(F.coalesce(F.col("links"), F.lit(0)) > 0, F.col("lowest")).otherwise(F.col("rep")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row a document: key, class_id, n_links, n_copies (see ``classes``); repeated rows come back each."""
+    """One row a document: key, class_id, n_links, n_copies (see ``classes``); repeated rows come back each, other columns are left out."""
     found = classes(docs, text=text, key=key, **options)
     rows = docs.select(key, *text_key(F.coalesce(F.col(text), F.lit(""))))
     return rows.join(found, ["__k1", "__k2"], "left").select(key, "class_id", "n_links", "n_copies")
@@ -195,7 +292,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class."""
+    """The document with the smallest id of each class; one of several rows with that id and text.
+
+    Null and empty texts are one text, and so one class; a null id counts as larger than any other.
+    """
     kept = classes(docs).filter(F.col("rep").eqNullSafe(F.col("class_id"))).select("__k1", "__k2", "rep")
     keys = text_key(F.coalesce("text", F.lit("")))
     rows = docs.select("*", *keys).join(kept.hint("shuffle_hash"), ["__k1", "__k2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
