@@ -21,7 +21,7 @@ from .tokens import EOS, default_path, encoder, few_rows, in_slices
 
 LENGTH = 512  # ids of a sequence
 SHARD_RECORDS = 32_768  # records of a shard, about
-TASK_BITS = 40  # of a number for the place in a task
+TASKS, TASK_BITS = 1_000_000, 40  # tasks that numbers allow for, and bits of a number for the place in a task
 ROUNDS = 4
 # A record's header, little-endian: document, slot in the shard, shard, piece, number of ids (the top bit says that the document has no id), their CRC-32.
 HEADER = [("doc", "<i8"), ("slot", "<i8"), ("shard", "<u4"), ("piece", "<u4"), ("n", "<u4"), ("crc", "<u4")]
@@ -66,7 +66,7 @@ def sequences(docs: DataFrame, path: str, shards: int, key: int, length: int = L
     """
     eos = np.array([EOS], np.uint32)
     raw = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.spark_partition_id().alias("task"))
-    many = max(1, raw.rdd.getNumPartitions()) << TASK_BITS
+    many = TASKS << TASK_BITS
     width = -(-many // shards)
 
     def cut(batches):
