@@ -53,15 +53,14 @@ def _made(spark: SparkSession) -> list[str]:
     return context._millrace_made
 
 
-def settled(df: DataFrame, name: str, since: int) -> DataFrame:
-    """``written``, and then the folders made since ``since`` (a length of ``_made``) are deleted: nothing reads them again."""
-    made = _made(df.sparkSession)
-    out = written(df, name)
-    for path in made[since:-1]:
-        fs, at = _file(df.sparkSession, path)
-        fs.delete(at, True)
-    del made[since:-1]
-    return out
+def forget(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Deletes the folders made since ``mark`` gave ``since``, but for those of ``kept``, which ``written`` has given: nothing reads them again."""
+    made, held = _made(spark), {df._millrace_path for df in kept}
+    for path in made[since:]:
+        if path not in held:
+            fs, at = _file(spark, path)
+            fs.delete(at, True)
+    made[since:] = [path for path in made[since:] if path in held]
 
 
 def mark(spark: SparkSession) -> int:
@@ -73,7 +72,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
 
 
 def let(value: Column, body) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import forget, mark, table, text_key, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -193,7 +193,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, t
     none; a text of fewer than ``n`` words is one shingle.  A null text is empty; ids may be null, and a class whose ids are all null has
     the id null.  Texts of any length are compared as a whole: a task holds ``2 * block`` of them at most.  No documents give no rows.
     """
-    depth = depth_for(similarity, trees, deepest, recall)
+    depth, since = depth_for(similarity, trees, deepest, recall), mark(docs.sparkSession)
     raw = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(key).alias("id"), *text_key(raw), raw.alias("text"))
 
@@ -276,6 +276,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, t
     known = different.drop("paths", "labels").join(links.drop("blocks"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     known = written(known, "known")
     lowest = written(known.filter("links > 0").groupBy("root").agg(F.min("rep").alias("lowest")), "lowest")
+    forget(docs.sparkSession, since, known, lowest)
     out = known.join(lowest, "root", "left")
     return out.select("__k1", "__k2", "rep", F.when(F.coalesce(F.col("links"), F.lit(0)) > 0, F.col("lowest")).otherwise(F.col("rep")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
 
