@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
-from millrace.llm.common import mark, settled, table
+from millrace.llm.common import forget, mark, table, written
 
 STAGES = [
     ("quality rules", quality_rules.stage),
@@ -30,5 +30,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         since = mark(spark)
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = settled(docs, f"stage{k}", since)
+            docs = written(docs, f"stage{k}")
+            forget(spark, since, docs)
     return docs
