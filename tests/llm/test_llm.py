@@ -639,3 +639,24 @@ def test_pipeline(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in mixing.mix(cut).collect() if r.copies})
     out = corpus_pipeline.STAGES[4][1](spark, mixed, sf)
     assert out.filter("piece = 0").count() == mixed.count()
+
+
+def test_long_texts(spark):
+    """A text of a million equal bytes and one of 150,000 words go through every operator whole."""
+    rng = np.random.default_rng(6)
+    long = " ".join("w" + str(k) for k in rng.integers(0, 40_000, 150_000))
+    texts = ["x" * 1_000_000, long, long[200_000:300_000], "short"]
+    docs = sample(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    path = tokens.default_path()
+    cut = {r.doc_id: r for r in suffix_dedup.repeats(docs).collect()}
+    assert (cut[0].n_removed, cut[0].n_spans) == (1_000_000, 1) and cut[1].n_removed == cut[2].n_removed == 100_000 and cut[3].n_removed == 0
+    words = {r.doc_id: r for r in quality_rules.quality(docs, []).collect()}
+    assert [words[i].n_words for i in range(4)] == [len(t.split()) for t in texts]
+    assert sorted(r.n_words for r in license_scan.licenses(docs).collect()) == sorted(len(t.split()) for t in texts)
+    pieces = packing.pack(packing.token_pieces(docs, path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    records = {r.doc_id: r.n for r in token_output.training_order(docs.select("doc_id", "text"), path).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert {r.doc_id: r.n for r in pieces} == records and records[1] > 150_000
+    assert sorted(r.n_bytes for r in audio.store_texts(docs, keep_media=False).collect()) == sorted(map(len, texts))
+    assert {r.doc_id: r.n_tokens for r in lm_scoring.scores(docs, path).collect()} == {i: len(t.split()) + 1 for i, t in enumerate(texts)}
+    assert {r.doc_id: r.size for r in mixing.mix(docs).collect()} == {i: len(t.split()) for i, t in enumerate(texts)}
+    assert {r.n_links for r in jaccard_join.jaccard_join(docs).collect()} == {0}
