@@ -20,7 +20,7 @@ from .common import new_path, table
 from .tokens import EOS, default_path, encoder, few_rows, in_slices
 
 LENGTH = 512  # ids of a sequence
-SHARD_RECORDS = 32_768  # records of a shard, about
+SHARD_RECORDS = 8192  # records of a shard, about: a task reads a shard's file as one value
 TASKS, TASK_BITS = 1_000_000, 40  # tasks that numbers allow for, and bits of a number for the place in a task
 ROUNDS = 4
 # A record's header, little-endian: document, slot in the shard, shard, piece, number of ids (the top bit says that the document has no id), their CRC-32.
@@ -107,7 +107,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 0, lengt
 
     def pack(batches):
         given = 0
-        for batch in batches:
+        for batch in few_rows(batches):
             n = batch.num_rows
             out, ids = np.zeros(n, kind), [x.as_buffer() for x in batch.column(3)]
             size = np.fromiter((x.size // 2 for x in ids), np.int64, n)
@@ -157,8 +157,8 @@ def read_shards(spark: SparkSession, files: list[tuple[str, int, int]], length:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 records = np.frombuffer(content.as_buffer(), kind)
                 skip = max(0, start - first[name])
-                for at in range(skip, len(records), 4096):
-                    part = records[at : at + 4096]
+                for at in range(skip, len(records), 1024):
+                    part = records[at : at + 1024]
                     n = (part["n"] & ~NO_ID).astype(np.int64)
                     ids = [x[: 2 * k] for x, k in zip((r.tobytes() for r in part["ids"]), n.tolist(), strict=True)]
                     if (wrong := np.flatnonzero(np.fromiter(map(zlib.crc32, ids), np.uint32, len(ids)) != part["crc"])).size:
