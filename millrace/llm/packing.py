@@ -27,7 +27,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str
     """key, piece, start, length, ids_crc32: documents as token ids with EOS at their end, cut where longer than ``capacity``.
 
     Only the first piece may be shorter than ``capacity``.  A null or empty text is one id long, repeated rows come back each, other columns
-    are left out, and no documents give no rows.  A task holds the ids of one text, or of some 1,000,000 characters.
+    are left out, and no documents give no rows.  A task holds the ids of one text, or of some 500,000 characters.
     """
     eos = np.array([EOS], np.uint32)
 

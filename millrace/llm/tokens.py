@@ -17,7 +17,7 @@ RUN = re.compile(r"\s (?:\s|\Z)")
 #: Bytes that white space can start with.
 ALONE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
-KEPT = 300_000  # words whose ids an encoder remembers, about
+KEPT = 150_000  # words whose ids an encoder remembers, about
 
 
 class Powers:
@@ -188,7 +188,7 @@ def encoder(path: str) -> Encoder:
     return per_process(("encoder", path), lambda: Encoder(path))
 
 
-def in_slices(texts: list, chars: int = 1_000_000):
+def in_slices(texts: list, chars: int = 500_000):
     """Runs (start, texts) with at most so many characters, or one longer text: bounds what is split at a time."""
     at, held = 0, 0
     for i, t in enumerate(texts):
