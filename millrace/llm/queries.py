@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bases, jaccard_join, license_scan, lm_scoring, mixing, packing, quality_rules, suffix_dedup, token_output, url_filter
+from . import audio, bases, jaccard_join, license_scan, lm_scoring, mixing, packing, quality_rules, suffix_dedup, token_output, url_filter, winnowing
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_media_columns": audio.op8_media_columns,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op9_token_output": token_output.op9_token_output,
+    "op11_decontamination": winnowing.op11_decontamination,
     **bases.QUERIES,
 }
 
-ORACLE_SQL = {"op1_url_filters": url_filter.SQL, **bases.ORACLE_SQL}
+ORACLE_SQL = {"op1_url_filters": url_filter.SQL, "op11_decontamination": winnowing.SQL, **bases.ORACLE_SQL}
