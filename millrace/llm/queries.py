@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bases, jaccard_join, license_scan, lm_scoring, mixing, packing, quality_rules, suffix_dedup, token_output, url_filter, winnowing
+from . import audio, bases, conversation_trie, jaccard_join, license_scan, lm_scoring, mixing, packing, quality_rules, spelling, suffix_dedup, token_output, url_filter, winnowing
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -16,6 +16,8 @@ QUERIES = {
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op9_token_output": token_output.op9_token_output,
     "op11_decontamination": winnowing.op11_decontamination,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     **bases.QUERIES,
 }
 
