@@ -40,11 +40,17 @@ def without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge(existing: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows whose key doesn't change, then the upserts; a null key is a key like any other."""
+    """Existing rows whose key doesn't change, then the upserts; a null key is a key like any other.
+
+    Deletes apply after upserts: a key that ``changes`` both upsert and delete is gone.  Columns are matched by name; those that one side
+    lacks are null there.
+    """
     parts = split(changes)
-    upserts, deletes = parts or (changes, changes.limit(0))
+    if not parts:
+        return without(existing, changes, keys).unionByName(changes, allowMissingColumns=True)
+    upserts, deletes = parts
     touched = upserts.select(*keys).unionByName(deletes.select(*keys))
-    return without(existing, touched, keys).unionByName(upserts, allowMissingColumns=True)
+    return without(existing, touched, keys).unionByName(without(upserts, deletes, keys), allowMissingColumns=True)
 
 
 def insert_if_absent(existing: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -73,10 +79,17 @@ def _renamed(fs, old, new) -> None:
         raise OSError(f"{old} can't be renamed to {new}")
 
 
+def read_named(spark, path: str, like, **options) -> DataFrame:
+    """CSV files with a header as ``merge`` needs them: columns by the header's names, typed as those of ``like`` where it has them and as text where it doesn't."""
+    held = spark.read.options(**(options | {"header": True, "multiLine": True})).csv(path)
+    types = {f.name: f.dataType for f in like}
+    return held.select(*[held[c].cast(types[c]).alias(c) if c in types else held[c] for c in held.columns])
+
+
 def merge_files(path: str, changes: DataFrame, keys: list[str], kind: str = "parquet", **options) -> None:
-    """Merges into a folder of files: writes a sibling folder, then swaps the names.
+    """Merges into a folder of files: writes a sibling folder, then swaps the names.  All files are rewritten; ``keyed.merge`` rewrites few.
 
-    A rename that fails raises and leaves the table as it was, under its name; the old files go last.
+    CSV files are read by their header.  A rename that fails raises and leaves the table as it was, under its name; the old files go last.
     """
     spark = changes.sparkSession
     jvm = spark.sparkContext._jvm
@@ -88,8 +101,8 @@ def merge_files(path: str, changes: DataFrame, keys: list[str], kind: str = "par
         return
     new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}-{x}-{uuid.uuid4().hex}") for x in ("new", "old"))
     like = (parts[0] if parts else changes).schema
-    existing = spark.read.options(**options).format(kind)
-    merge((existing if kind == "parquet" else existing.schema(like)).load(path), changes, keys).write.options(**options).format(kind).save(new.toString())
+    existing = read_named(spark, path, like, **options) if kind == "csv" else spark.read.options(**options).format(kind).load(path)
+    merge(existing, changes, keys).write.options(**options).format(kind).save(new.toString())
     _renamed(fs, at, old)
     try:
         _renamed(fs, new, at)

@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import TransformError
 
 COMMAND = "org.apache.spark.sql.catalyst.plans.logical.Command"
-WRITES = ("Insert", "Merge", "Update", "Delete")
+SUBQUERY = "org.apache.spark.sql.catalyst.expressions.PlanExpression"
+EXPRESSION = "org.apache.spark.sql.catalyst.expressions.Expression"
+# Nodes that change something, run other programs, or read what is no input.
+REFUSED = ("Insert", "Merge", "Update", "Delete", "Overwrite", "ScriptTransformation", "PlanWithUnresolvedIdentifier", "UnresolvedExecuteImmediate", "ExecuteImmediate", "CompoundBody", "SingleStatement")
+# Functions that call any method of the JVM, or read files by name.
+CALLS = ("reflect", "java_method", "try_reflect", "read_files", "input_file_name")
 
 
 def _own_session(spark: SparkSession) -> SparkSession:
@@ -22,28 +27,59 @@ def _own_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def _refuse_commands(spark: SparkSession, sql: str) -> None:
-    """TransformError if the parsed statement defines or changes anything, at its top or below a WITH."""
+def _each(seq):
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def _refuse(spark: SparkSession, sql: str, inputs: set[str]) -> None:
+    """TransformError if the parsed statement does anything but query ``inputs`` and what its own WITH clauses name, at any depth."""
     gateway = spark.sparkContext._gateway
-    nodes = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
-    while nodes:
-        node = nodes.pop()
-        name = node.getClass().getSimpleName()
-        if is_instance_of(gateway, node, COMMAND) or name.startswith(WRITES):
-            raise TransformError(f"only a query is allowed, not {name}")
-        children = node.children()
-        nodes += [children.apply(k) for k in range(children.size())]
+    is_a = lambda x, kind: is_instance_of(gateway, x, kind)
+
+    def expression(e, names: set[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction" and (called := _each(e.nameParts())[-1].lower()) in CALLS:
+            raise TransformError(f"the function {called} isn't allowed")
+        if kind in ("CallMethodViaReflection", "ExpressionWithUnresolvedIdentifier"):
+            raise TransformError(f"{kind} isn't allowed")
+        if is_a(e, SUBQUERY):
+            node(e.plan(), names)
+        for child in _each(e.children()):
+            expression(child, names)
+
+    def node(n, names: set[str]) -> None:
+        kind = n.getClass().getSimpleName()
+        if is_a(n, COMMAND) or kind.startswith(REFUSED):
+            raise TransformError(f"only a query is allowed, not {kind}")
+        if kind == "UnresolvedRelation":
+            parts = _each(n.multipartIdentifier())
+            if len(parts) != 1 or parts[0].lower() not in names:
+                raise TransformError(f"{'.'.join(parts)} is no input")
+        if kind == "UnresolvedTableValuedFunction" and _each(n.name())[-1].lower() in CALLS:
+            raise TransformError("only a query is allowed")
+        if kind == "UnresolvedWith":
+            for relation in _each(n.cteRelations()):
+                alias = relation._1().lower()
+                node(relation._2(), names | ({alias} if n.allowRecursion() else set()))
+                names = names | {alias}
+        for e in _each(n.expressions()):
+            expression(e, names)
+        for child in _each(n.children()):
+            node(child, names)
+
+    node(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), {name.lower() for name in inputs})
 
 
 def transform(inputs: dict[str, DataFrame], sql: str) -> DataFrame:
     """One query over ``inputs``, each a view of its name in a session of its own; double quotes enclose names.
 
-    The caller's views and settings are neither seen nor touched.  Anything but a query raises TransformError.
+    The caller's views, tables, files and settings are neither seen nor touched.  Anything but a query over the inputs raises TransformError:
+    commands, writes, scripts, calls of JVM methods, and relations that neither ``inputs`` nor the statement's own WITH clauses name.
     """
     spark = next(iter(inputs.values())).sparkSession
     try:
         own = _own_session(spark)
-        _refuse_commands(own, sql or "")
+        _refuse(own, sql or "", set(inputs))
         for name, df in inputs.items():
             held = own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
             DataFrame(held, own).createOrReplaceTempView(name)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import SpecError
 from ..functions.text import fixed_windows, prompt, sentences
 from ..functions.vectors import cosine
+from ..session import scratch
 
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 
@@ -119,7 +120,7 @@ def complete(df: DataFrame, template: str, columns: list[str], output: str, back
     """``df`` with ``backend(prompts)`` for each row's prompt; equal prompts are asked once.
 
     ``cache`` is a Parquet folder of earlier replies: only prompts without one younger than ``ttl_seconds`` are asked, and their
-    replies are added to it.
+    replies are added to it.  The replies of this call are settled before it returns, so its result doesn't change as the cache ages.
     """
     held = df.drop(output).withColumn("__prompt", prompt(template, columns)).withColumn("__key", cache_key(model, "__prompt", max_tokens, temperature))
     wanted = held.groupBy("__key").agg(F.first("__prompt").alias("__asked"))
@@ -137,15 +138,20 @@ def complete(df: DataFrame, template: str, columns: list[str], output: str, back
         return held.join(answered(wanted), "__key").drop("__key", "__prompt")
     spark, schema = df.sparkSession, "key string, reply string, at timestamp"
     spark.createDataFrame([], schema).write.mode("append").parquet(cache)  # so that a first run has a cache to read
-    young = F.lit(True) if ttl_seconds is None else F.col("at") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(ttl_seconds)))
-
-    def replies() -> DataFrame:
-        found = spark.read.schema(schema).parquet(cache).filter(young)
-        return found.groupBy(F.col("key").alias("__key")).agg(F.max_by("reply", "at").alias(output))
-
-    missing = answered(wanted.join(replies(), "__key", "left_anti"))
-    missing.select(F.col("__key").alias("key"), F.col(output).alias("reply"), F.current_timestamp().alias("at")).write.mode("append").parquet(cache)
-    return held.join(replies(), "__key").drop("__key", "__prompt")
+    now = spark.sql("SELECT current_timestamp() AS t").first().t
+    young = F.lit(True) if ttl_seconds is None else F.col("at") > F.lit(now) - F.make_dt_interval(secs=F.lit(float(ttl_seconds)))
+    kept = spark.read.schema(schema).parquet(cache).filter(young)
+    # What is fresh is settled here, once: these replies, and those asked for below, are joined whenever the result is read.
+    chosen = scratch(spark, "replies")
+    kept.groupBy("key").agg(F.max_by("reply", "at").alias("reply"), F.max("at").alias("at")).join(wanted.select(F.col("__key").alias("key")), "key", "left_semi").write.parquet(chosen)
+    known = spark.read.schema(schema).parquet(chosen)
+    missing = answered(wanted.join(known.select(F.col("key").alias("__key")), "__key", "left_anti"))
+    asked = scratch(spark, "asked")
+    missing.select(F.col("__key").alias("key"), F.col(output).alias("reply"), F.current_timestamp().alias("at")).write.parquet(asked)
+    new = spark.read.schema(schema).parquet(asked)
+    new.write.mode("append").parquet(cache)
+    replies = known.unionByName(new).select(F.col("key").alias("__key"), F.col("reply").alias(output))
+    return held.join(replies, "__key").drop("__key", "__prompt")
 
 
 def cost(df: DataFrame, prompt_tokens: str, reply_tokens: str, prompt_price: float, reply_price: float):

@@ -2,71 +2,95 @@
 
 from __future__ import annotations
 
-import json
-
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame
 
+ATTRIBUTE = "org.apache.spark.sql.catalyst.expressions.AttributeReference"
+ALIAS = "org.apache.spark.sql.catalyst.expressions.Alias"
+SUBQUERY = "org.apache.spark.sql.catalyst.expressions.PlanExpression"
+# Nodes whose output columns have no single origin.
+MERGED = ("Union", "Intersect", "Except")
 
-def _trees(nodes: list[dict]):
-    """A node and its children, from the plan's list of nodes in depth-first order."""
+#: Names of input columns; None where the origin isn't known.
+Origin = frozenset | None
 
-    def take(at: int):
-        node = nodes[at]
-        children, at = [], at + 1
-        for _ in range(node.get("num-children", 0)):
-            child, at = take(at)
-            children.append(child)
-        return (node, children), at
 
-    return take(0)[0]
+def _each(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
 
 
-def _ids(x):
-    """Expression ids of the attributes in a serialized expression."""
-    if isinstance(x, dict):
-        if x.get("class", "").endswith("AttributeReference"):
-            yield x["exprId"]["id"]
-        for v in x.values():
-            yield from _ids(v)
-    elif isinstance(x, list):
-        for v in x:
-            yield from _ids(v)
+def _all(origins) -> Origin:
+    out: frozenset = frozenset()
+    for x in origins:
+        if x is None:
+            return None
+        out |= x
+    return out
 
 
-def column_lineage(df: DataFrame) -> dict[str, list[str] | None]:
-    """For each output column its input columns, sorted; None for all if a union, which has no single origin, is on the way."""
-    tree = _trees(json.loads(df._jdf.queryExecution().analyzed().toJSON()))
-    made: dict[int, set[int]] = {}
-    leaf: dict[int, str] = {}
-    union = False
-
-    def walk(t):
-        nonlocal union
-        node, children = t
-        kind = node["class"].rsplit(".", 1)[-1]
-        union = union or kind in ("Union", "Intersect", "Except")
-        for field, value in node.items():
-            if not isinstance(value, list):
-                continue
-            for expression in value:
-                if not (isinstance(expression, list) and expression and isinstance(expression[0], dict)):
-                    continue
-                top = expression[0]
-                if top.get("class", "").endswith(".Alias"):
-                    made.setdefault(top["exprId"]["id"], set()).update(_ids(expression[1:]))
-                elif top.get("class", "").endswith("AttributeReference") and not children and field in ("output", "projectList"):
-                    leaf[top["exprId"]["id"]] = top["name"]
+class _Walk:
+    """Origins by expression id.  A node's children come first, so what it refers to is known."""
+
+    def __init__(self, gateway):
+        self.gateway, self.made, self.ctes = gateway, {}, {}
+
+    def is_a(self, x, kind: str) -> bool:
+        return is_instance_of(self.gateway, x, kind)
+
+    def of(self, e) -> Origin:
+        """Origins of what an expression is computed from; of a subquery, of the columns that it returns."""
+        if self.is_a(e, ATTRIBUTE):
+            return self.made.get(e.exprId().id())
+        if self.is_a(e, SUBQUERY):
+            self.plan(e.plan())
+            return _all(self.made.get(a.exprId().id()) for a in _each(e.plan().output()))
+        if e.getClass().getSimpleName() == "OuterReference":
+            return self.of(e.e())
+        return _all(self.of(c) for c in _each(e.children()))
+
+    def aliases(self, e) -> None:
+        if self.is_a(e, ALIAS):
+            self.made[e.exprId().id()] = self.of(e.child())
+        for c in _each(e.children()):
+            self.aliases(c)
+
+    def plan(self, node) -> None:
+        kind, children = node.getClass().getSimpleName(), _each(node.children())
         for c in children:
-            walk(c)
+            self.plan(c)
+        if kind == "LateralJoin":
+            self.plan(node.right().plan())
+        made, output = self.made, _each(node.output())
+        if kind == "CTERelationDef":
+            self.ctes[node.id()] = [made.get(a.exprId().id()) for a in output]
+        elif kind == "CTERelationRef":
+            made.update({a.exprId().id(): o for a, o in zip(output, self.ctes.get(node.cteId()) or [None] * len(output), strict=True)})
+        elif kind in MERGED:
+            made.update({a.exprId().id(): None for a in output})
+        elif not children:
+            made.update({a.exprId().id(): frozenset([a.name()]) for a in output})
+        elif kind == "Generate":
+            origin = self.of(node.generator())
+            made.update({a.exprId().id(): origin for a in _each(node.generatorOutput())})
+        elif kind == "Expand":
+            rows = [[self.of(e) for e in _each(p)] for p in _each(node.projections())]
+            made.update({a.exprId().id(): _all(column) for a, column in zip(output, zip(*rows, strict=True), strict=True)})
+        else:
+            for e in _each(node.expressions()):
+                self.aliases(e)
+            # What the node makes in another way, a function over rows for one, has no origin here.
+            for a in output:
+                made.setdefault(a.exprId().id(), None)
 
-    walk(tree)
-    if union:
-        return dict.fromkeys(df.columns)
 
-    def origin(i: int) -> set[str]:
-        if i in made:
-            return set().union(*(origin(j) for j in made[i])) if made[i] else set()
-        return {leaf[i]} if i in leaf else set()
+def column_lineage(df: DataFrame) -> dict[str, list[str] | None]:
+    """For each output column the input columns that it is computed from, sorted: none for constants and counts of rows.
 
-    attributes = df._jdf.queryExecution().analyzed().output()
-    return {attributes.apply(k).name(): sorted(origin(attributes.apply(k).exprId().id())) for k in range(attributes.size())}
+    None where that isn't known: behind unions, which have no single origin, and behind functions over whole rows.  Generated rows come from
+    the generator's arguments, keys of grouping sets from the columns grouped by, a subquery's value from the columns it returns.
+    """
+    walk = _Walk(df.sparkSession.sparkContext._gateway)
+    plan = df._jdf.queryExecution().analyzed()
+    walk.plan(plan)
+    found = {a.name(): walk.made.get(a.exprId().id()) for a in _each(plan.output())}
+    return {name: None if origin is None else sorted(origin) for name, origin in found.items()}

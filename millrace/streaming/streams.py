@@ -1,11 +1,11 @@
-"""Streams: change mirrors batch by batch, and windows over event time."""
+"""Streams: change mirrors batch by batch, windows over event time, and totals with a state for each key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cdc
+from ..operators import cdc, keyed
 
 
 def files(spark: SparkSession, path: str, like: DataFrame, kind: str = "parquet", each: int = 1) -> DataFrame:
@@ -13,16 +13,17 @@ def files(spark: SparkSession, path: str, like: DataFrame, kind: str = "parquet"
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", each).format(kind).load(path)
 
 
-def mirror(changes: DataFrame, target: str, keys: list[str], checkpoint: str, order: list[str] | None = None, transform=None):
-    """Applies change events to a Parquet folder, batch by batch; offsets move on only after a batch is written.
+def mirror(changes: DataFrame, target: str, keys: list[str], checkpoint: str, order: list[str], transform=None, buckets: int = 64):
+    """Applies change events to a keyed table, batch by batch; offsets move on only after a batch is written.
 
-    ``order`` settles several changes of a key within a batch; ``transform`` runs on each batch alone, so aggregates in it are
-    of that batch.  Applying a batch twice leaves the same table.
+    ``order`` settles several changes of a key within a batch.  A batch rewrites the buckets that its keys fall into and no other file.
+    ``transform`` runs on each batch alone, so aggregates in it are of that batch; ``totals`` keeps them over all batches.  Applying a batch twice
+    leaves the same table.  ``keyed.read`` reads it.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
         held = transform(batch) if transform else batch
-        cdc.merge_files(target, cdc.latest(held, keys, order) if order else held, keys)
+        keyed.merge(target, cdc.latest(held, keys, order), keys, buckets)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

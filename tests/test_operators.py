@@ -414,7 +414,7 @@ def test_mirror(spark, tmp_path):
 
     def catch_up():
         streams.mirror(streams.files(spark, src, like, each=1), str(tmp_path / "t"), ["id"], str(tmp_path / "c"), ["seq"]).awaitTermination(60)
-        return sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+        return sorted((r.id, r.v) for r in keyed.read(spark, str(tmp_path / "t")).collect())
 
     add(batches[0])
     like = spark.read.parquet(src)
