@@ -26,7 +26,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values:
         alone = alone | left[c].isNull()
     unmet, left = left.filter(alone), left.filter(~alone)
     micros = lambda df: df.select(_number(df, time).alias("t"))
-    cuts = micros(left).unionByName(micros(known)).approxQuantile("t", [k / slices for k in range(1, slices)], 0.01)
+    cuts = micros(left).unionByName(micros(known)).approxQuantile("t", [k / slices for k in range(1, slices)], 0.01) if slices > 1 else []
     cuts = sorted(set(cuts))
     at = lambda df: functools.reduce(lambda n, c: n + F.when(_number(df, time) > c, 1).otherwise(0), cuts, F.lit(0))
     ranked = [F.col(c) for c in order or []]

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..errors import SpecError
 from ..operators import cdc
+from ..session import scratch
+from . import rest, sqlite, values
 
 # Connector names and the Spark formats that read them.
 FILES = ("csv", "json", "parquet", "orc", "text")
@@ -40,33 +42,7 @@ def narrowed(df: DataFrame) -> DataFrame:
     return df.select(*[df[c].cast(NARROW.get(t, "string")).alias(c) for c, t in df.dtypes])
 
 
-def infer_json(rows: list[dict]) -> str:
-    """Schema of JSON rows: keys as first seen, typed by their first value that isn't null; nested values are text."""
-    kinds: dict[str, str | None] = {}
-    for row in rows:
-        for k, v in row.items():
-            if kinds.get(k) is None:
-                kinds[k] = None if v is None else "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "string"
-    return ", ".join(f"`{k}` {t or 'string'}" for k, t in kinds.items())
-
-
-def _as(value, kind: str):
-    if value is None:
-        return None
-    if kind == "string":
-        return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-    if kind == "boolean":
-        return value if isinstance(value, bool) else None
-    if isinstance(value, bool) or not isinstance(value, (int, float)):
-        return None
-    return float(value) if kind == "double" else value if isinstance(value, int) else None
-
-
-def _fields(schema: str) -> list[tuple[str, str]]:
-    fields = [(n.strip("`"), t) for n, t in (f.rsplit(" ", 1) for f in schema.split(", "))]
-    if bad := [t for _, t in fields if t not in ("bigint", "double", "boolean", "string")]:
-        raise SpecError(f"no type for JSON: {bad[0]}")
-    return fields
+infer_json, _as, _fields = values.infer, values.fitted, values.fields
 
 
 def json_rows(spark: SparkSession, rows: list[dict], schema: str | None = None) -> DataFrame:
@@ -82,20 +58,6 @@ def read_json(spark: SparkSession, path: str, sample: int = 1000) -> DataFrame:
     return spark.read.schema(infer_json(first)).option("primitivesAsString", "false").json(path)
 
 
-def _get(url: str, ask: dict, seconds: int):
-    import urllib.parse
-    import urllib.request
-
-    with urllib.request.urlopen(url + ("?" + urllib.parse.urlencode(ask) if ask else ""), timeout=seconds) as reply:
-        return json.load(reply)
-
-
-def _dig(x, path: str | None):
-    for part in [p for p in (path or "").split(".") if p]:
-        x = x.get(part) if isinstance(x, dict) else None
-    return x
-
-
 def read_rest(spark: SparkSession, config: dict) -> DataFrame:
     """Rows of a paginated JSON service: ``url``, ``rows_path``, ``pagination`` (none, offset, cursor), ``max_pages``.
 
@@ -107,13 +69,13 @@ def read_rest(spark: SparkSession, config: dict) -> DataFrame:
 
     def page(number: int, cursor=None):
         ask = {"offset": {offset: number * size, limit: size}, "cursor": {config.get("cursor_param", "cursor"): cursor} if cursor else {}}.get(kind, {})
-        return _get(config["url"], ask, seconds)
+        return rest.get(config["url"], ask, seconds, config.get("retries", 3), config.get("retry_backoff_seconds", 1))
 
     body = page(0)
-    rows, cursor, number = _dig(body, config.get("rows_path")) or [], _dig(body, config.get("cursor_path")), 0
+    rows, cursor, number = rest.dig(body, config.get("rows_path")) or [], rest.dig(body, config.get("cursor_path")), 0
     schema = config.get("schema") or infer_json(rows)
     if kind == "offset" and config.get("total_path"):
-        pages = -(-int(_dig(body, config["total_path"]) or 0) // size)
+        pages = -(-int(rest.dig(body, config["total_path"]) or 0) // size)
         if pages > most:
             raise SpecError(f"{pages} pages are more than {most}")
 
@@ -123,7 +85,7 @@ def read_rest(spark: SparkSession, config: dict) -> DataFrame:
             fields = _fields(schema)
             for pdf in batches:
                 for number in pdf["id"]:
-                    found = _dig(page(int(number)), config.get("rows_path")) or []
+                    found = rest.dig(page(int(number)), config.get("rows_path")) or []
                     yield pd.DataFrame([[_as(r.get(n), t) for n, t in fields] for r in found], columns=[n for n, _ in fields], dtype=object)
 
         return spark.range(0, max(1, pages), 1, max(1, min(pages, 64))).mapInPandas(fetch, schema)
@@ -132,35 +94,31 @@ def read_rest(spark: SparkSession, config: dict) -> DataFrame:
         if number >= most:
             raise SpecError(f"more than {most} pages")
         body = page(number, cursor)
-        found, cursor = _dig(body, config.get("rows_path")) or [], _dig(body, config.get("cursor_path"))
+        found, cursor = rest.dig(body, config.get("rows_path")) or [], rest.dig(body, config.get("cursor_path"))
         rows += found
     return json_rows(spark, rows, schema)
 
 
-def read_sqlite(spark: SparkSession, config: dict) -> DataFrame:
-    """A table of an SQLite file that all executors can open: tasks read ranges of its row numbers; the driver looks at the first rows."""
-    import sqlite3
-
-    path, name, step = config["path"], config["table"].replace('"', '""'), config.get("rows_per_task", 100_000)
-    with sqlite3.connect(path) as db:
-        db.row_factory = sqlite3.Row
-        schema = config.get("schema") or infer_json([dict(r) for r in db.execute(f'SELECT * FROM "{name}" LIMIT 1000')])
-        low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{name}"').fetchone()
-    if low is None:
-        return json_rows(spark, [], config.get("schema") or schema) if schema else spark.createDataFrame([], "")
-    fields = _fields(schema)
+def ready(spark: SparkSession) -> SparkSession:
+    """``spark`` with the library's data sources, ``millrace_sqlite`` and ``millrace_rest``, and with filters pushed to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (sqlite.SqliteSource, rest.RestSource):
+        spark.dataSource.register(source)
+    return spark
 
-    def fetch(batches):
-        import pandas as pd
 
-        with sqlite3.connect(path) as db:
-            db.row_factory = sqlite3.Row
-            for pdf in batches:
-                for first in pdf["id"]:
-                    rows = [[_as(dict(r).get(n), t) for n, t in fields] for r in db.execute(f'SELECT * FROM "{name}" WHERE rowid >= ? AND rowid < ?', (int(first), int(first) + step))]
-                    yield pd.DataFrame(rows, columns=[n for n, _ in fields], dtype=object)
+def read_sqlite(spark: SparkSession, config: dict) -> DataFrame:
+    """A table or view of an SQLite file that all executors can open: tasks read ranges of its row numbers, filters reach the file.  What has no row numbers is one task."""
+    reader = ready(spark).read.format("millrace_sqlite").options(path=config["path"], table=config["table"], rows_per_task=config.get("rows_per_task", 100_000))
+    return (reader.schema(config["schema"]) if config.get("schema") else reader).load()
+
 
-    return spark.range(low, high + 1, step, max(1, min(-(-(high - low + 1) // step), 1024))).mapInPandas(fetch, schema)
+def write_sqlite(df: DataFrame, config: dict) -> None:
+    """Inserts, or with ``primary_key`` upserts and deletes by opcode, in one transaction; the driver applies what tasks have staged in the shared folder."""
+    keys = config.get("primary_key") or []
+    staging = config.get("staging") or scratch(df.sparkSession, "staging").removeprefix("file://")
+    writer = ready(df.sparkSession) and df.write.format("millrace_sqlite").mode(config.get("mode", "append"))
+    writer.options(path=config["path"], table=config["table"], primary_key=keys if isinstance(keys, str) else ",".join(keys), staging=staging).save()
 
 
 def read_changes(spark: SparkSession, connector: str, config: dict) -> DataFrame:
@@ -225,6 +183,8 @@ def write(df: DataFrame, connector: str, config: dict) -> None:
         return df.write.mode(config.get("mode", "append")).format("jdbc").options(url=config["url"], dbtable=config["table"], **config.get("options", {})).save()
     if connector in FORMATS:
         return df.write.mode(mode).format(FORMATS[connector]).options(**config.get("options", {})).save(*([path] if path else []))
+    if connector == "sqlite":
+        return write_sqlite(df, config)
     if connector == "webhook":
         url, each = config["url"], config.get("per_row", False)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace import catalog
 from millrace.errors import SpecError, TransformError
 from millrace.functions import text as tx
-from millrace.operators import blocks, cdc, masking, quality, sqlstage, stats, textstages
+from millrace.operators import blocks, cdc, keyed, masking, quality, sqlstage, stats, textstages
 from millrace.plans import lineage, runner, spec
 from millrace.sources import registry
 
