@@ -1,10 +1,10 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 Every text has a label path in each of TREES prefix tries: minima of random hashes over its word shingles.  A path is one number, so
-that numbers sort as the trie does and a shift shortens a prefix by a label.  From DEPTH labels on, prefixes are shortened label by label until pairs
-at the threshold share one in some tree with the target recall.  Texts below the same prefix are compared with the smallest of them by
-their signatures: a clear match settles a text there, and what is left is compared with each other as soon as that is few enough for one task.
-Links so found connect regions, and any similar pair that shares a prefix is within one (see ``linked``).
+that numbers sort as the trie does and a shift shortens a prefix by a label.  Texts meet at DEPTH labels first: whoever is a near copy of the smallest text
+there is settled, and only the others' prefixes are shortened, down to the length at which pairs at the threshold share one in some tree with the
+target recall.  There texts are compared by their signatures, with the smallest of them for a few rounds and then with each other, in blocks where they are
+many.  Links so found connect regions, and any similar pair that shares a prefix is within one (see ``linked``).
 
 Tasks verify the pairs of a region exactly: shared shingles come from products of incidence matrices, block by block, so a large region
 is many tasks and no pair is ever a row.  In a large region, what is so near to its first text that any two must be similar needs no
@@ -24,8 +24,10 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 40, 10, 0.999
 LABEL = 8  # bits of a label in a path and a signature
-LINKED, SETTLED = 0.3, 0.5  # shares of equal labels that link texts, and that settle a text below a prefix
+# Shares of equal labels: that settle a text with the smallest one, that link it to that, and that link texts compared with each other.
+SETTLED, LINKED, CLOSE = 0.96, 0.54, 0.6
 FEW = 512  # texts below a prefix whose signatures meet in one task
+ROUNDS = 4  # of comparisons with the smallest text, where more than those are left
 BLOCK = 1024  # texts of a region that one task compares with as many
 COLUMNS = 2048  # shingles of an incidence matrix at a time
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -137,13 +139,16 @@ def _roots(close: np.ndarray) -> np.ndarray:
         root = now
 
 
-def linked(rows: DataFrame, signatures: DataFrame, few: int | None = None) -> DataFrame:
+def linked(rows: DataFrame, signatures: DataFrame, shift: int, few: int | None = None) -> DataFrame:
     """u, v: texts whose signatures agree.
 
-    rows: level, prefix, t; signatures: t, labels.  Below each prefix the smallest text leads, and one that agrees with it in
-    SETTLED of the labels is done there.  What is left chooses a leader anew, or, if no more than ``few`` are left, all of them are
-    compared.  So two similar texts x and y below a prefix are compared with each other, unless one of them, say x, has settled with a leader
-    z: then 1 - J(y, z) <= 1 - J(x, z) + 0.2, so that y agrees with z in LINKED of the labels at least, and both are linked to it.
+    rows: path, t; signatures: t, labels; ``shift`` bits shorten a path to the final prefix.  The smallest text of a path leads, and one that agrees with it in
+    SETTLED of the labels is done in this tree; the other texts' prefixes are shortened.  Below a final prefix the smallest leads again; where more than ``few``
+    are left after it they choose a leader anew, for ROUNDS rounds, and then all pairs are compared, in blocks of ``few``.
+
+    Let x and y be similar, 1 - J <= 0.2, and share a final prefix.  If neither settles they are compared.  If x settles with z, then 1 - J(x, z) <= 0.08 but for
+    chance (four deviations of 400 labels), and twice that if z, the leader of x's path, has settled too: so J(y, z) >= 0.64, and y agrees with z in
+    LINKED of the labels, or in CLOSE where z is compared as x's leader.  Both x and y are linked to z.  Pages of one template, less alike than that, aren't linked.
     """
     few, found = few or FEW, []
 
@@ -151,21 +156,22 @@ def linked(rows: DataFrame, signatures: DataFrame, few: int | None = None) -> Da
         import pandas as pd
 
         pdf = pdf.sort_values("t", ignore_index=True)
-        x = np.stack([np.frombuffer(v, np.uint8) for v in pdf["labels"]])
+        x, t, own = np.stack([np.frombuffer(v, np.uint8) for v in pdf["labels"]]), pdf["t"].to_numpy(), pdf["block"].to_numpy()
         close = np.eye(len(x), dtype=bool)
-        for i in range(len(x) - 1):
-            close[i, i + 1 :] = (x[i] == x[i + 1 :]).mean(axis=1) >= LINKED
-        t = pdf["t"].to_numpy()
+        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+        for i in np.flatnonzero(own == lo):
+            others = np.flatnonzero(own == hi) if lo != hi else np.arange(i + 1, len(x))
+            close[i, others] = (x[i] == x[others]).mean(axis=1) >= CLOSE
         out = pd.DataFrame({"u": t, "v": t[_roots(close | close.T)]})
         return out[out["u"] != out["v"]]
 
-    while True:
-        leads = written(rows.groupBy("level", "prefix").agg(F.min("t").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leads")
+    def led(rows: DataFrame) -> DataFrame | None:
+        """``rows`` (prefix, t, and more) without leaders and what has settled with them; None if no prefix has two texts."""
+        leads = written(rows.groupBy("prefix").agg(F.min("t").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leads")
         if leads.isEmpty():
-            break
-        below = rows.join(leads, ["level", "prefix"]).filter("t <> lead")
-        pairs = below.select("t", "lead").distinct()
-        both = pairs.join(signatures, "t").join(signatures.select(F.col("t").alias("lead"), F.col("labels").alias("others")), "lead")
+            return None
+        below = rows.join(leads, "prefix").filter("t <> lead")
+        both = below.select("t", "lead").distinct().join(signatures, "t").join(signatures.select(F.col("t").alias("lead"), F.col("labels").alias("others")), "lead")
 
         def agree(batches):
             for batch in batches:
@@ -174,11 +180,36 @@ def linked(rows: DataFrame, signatures: DataFrame, few: int | None = None) -> Da
 
         tested = written(both.select("t", "lead", "labels", "others").mapInArrow(agree, "t long, lead long, share double"), "tested")
         found.append(tested.filter(F.col("share") >= LINKED).select(F.col("t").alias("u"), F.col("lead").alias("v")))
-        rows = written(below.join(tested.filter(F.col("share") < SETTLED), ["t", "lead"]).select("level", "prefix", "t"), "below")
-        sizes = written(rows.groupBy("level", "prefix").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        small = rows.join(sizes.filter(F.col("n") <= few).drop("n"), ["level", "prefix"]).join(signatures, "t")
-        found.append(written(small.groupBy("level", "prefix").applyInPandas(compared, "u long, v long"), "compared"))
-        rows = rows.join(sizes.filter(F.col("n") > few).drop("n"), ["level", "prefix"])
+        return below.join(tested.filter(F.col("share") < SETTLED), ["t", "lead"]).select(rows.columns)
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        return df.select(F.shiftright("path", shift).alias("prefix"), "t")
+
+    deep = rows.select(F.col("path").alias("prefix"), "path", "t")
+    left = led(deep)
+    if left is None:
+        rows = written(prefixes(rows), "below")
+    else:  # leaders stay, and what has no other text on its path
+        gone = deep.join(written(left.select("path", "t"), "unsettled"), ["path", "t"], "left_anti")
+        leads = gone.groupBy("path").agg(F.min("t").alias("t"))
+        rows = written(prefixes(leads.unionByName(left.select("path", "t"))), "below")
+    for _ in range(ROUNDS):
+        left = led(rows)
+        if left is None:
+            rows = None
+            break
+        rows = written(left, "below")
+        sizes = written(rows.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        small = rows.join(sizes.filter(F.col("n") <= few).drop("n"), "prefix").join(signatures, "t")
+        small = small.withColumns({c: F.lit(0) for c in ("block", "lo", "hi")})
+        found.append(written(small.groupBy("prefix").applyInPandas(compared, "u long, v long"), "compared"))
+        rows = rows.join(sizes.filter(F.col("n") > few).drop("n"), "prefix")
+    if rows is not None:
+        sizes = written(rows.groupBy("prefix").agg(F.ceil(F.count("*") / few).cast("int").alias("blocks")), "sizes")
+        each = rows.join(sizes, "prefix").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+        each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        each = each.select("prefix", "t", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(signatures, "t")
+        found.append(written(each.groupBy("prefix", "lo", "hi").applyInPandas(compared, "u long, v long"), "compared"))
     out = found[0] if found else signatures.select(F.col("t").alias("u"), F.col("t").alias("v")).limit(0)
     for more in found[1:]:
         out = out.unionByName(more)
@@ -215,10 +246,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, t
     paths = different.select("t", F.explode("paths").alias("path")).withColumn("short", F.shiftright("path", shift))
     met = written(paths.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "met")
     shared = written(paths.join(met, "short").select("t", "path"), "shared")
-    levels = F.explode(F.sequence(F.lit(0), F.lit(shift), F.lit(LABEL)))
-    rows = shared.select("t", "path", levels.alias("level")).select("level", F.expr("shiftright(path, level)").alias("prefix"), "t")
     signatures = written(different.join(shared.select("t").distinct(), "t").select("t", "labels"), "signatures")
-    stars = components(linked(rows, signatures))
+    stars = components(linked(shared, signatures, shift))
 
     ends = stars.select(F.col("u").alias("t"), F.col("v").alias("region")).unionByName(stars.select(F.col("v").alias("t"), F.col("v").alias("region")).distinct())
     sizes = written(ends.groupBy("region").agg(F.count("*").alias("size")), "sizes")

@@ -81,15 +81,22 @@ def close(size: np.ndarray, p: np.ndarray) -> None:
             p[i], due = (1.0, up) if abs(up) < abs(down) else (0.0, down)
 
 
+def numbered(docs: DataFrame, key: str = "doc_id", extra: list[str] = ()) -> DataFrame:
+    """key, source, size, __h and __n: rows numbered in the order of a hash, equal ones one after the other, so that numbers deal any rows evenly."""
+    sizes = docs.select(key, "source", words(F.col("text")).alias("size"), F.xxhash64(key, "text").alias("__h"), *extra)
+    sizes = written(sizes.withColumn("__i", F.monotonically_increasing_id()), "sizes")
+    return ranked(sizes, F.col("source"), F.col("__h"), F.col("__i"), name="__n").drop("__i")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 0, key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
     """Copies of documents: key, size, source_size, target, taken, copies and the columns in ``carry``; others are left out.
 
     docs: key, source, text.  size counts words; a null or empty text has none and is never taken, and a source without words takes nothing.
-    Draws follow from the seed and the rows alone, so reruns agree; repeated rows are documents of their own, and which of equal ones is
-    taken makes no difference.  A null source is a source.  Texts of any length are counted as a whole; no documents give no rows.
+    Draws follow from the seed and the rows alone, so reruns agree; repeated rows are documents of their own, dealt to all cells like others, and
+    which of equal ones is taken makes no difference.  A null source is a source.  Texts of any length are counted as a whole; no documents give no rows.
     """
     extra = list(carry)
-    sizes = written(docs.select(key, "source", words(F.col("text")).alias("size"), F.xxhash64(key, "text").alias("__h"), *extra), "sizes")
+    sizes = numbered(docs, key, extra)
     due = targets(sizes, weights, most)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # Division leaves a few units of the last place beyond a whole number of copies.
@@ -97,7 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 0, key:
     rows = (
         sizes.withColumnRenamed("source", "__source").join(due, F.col("__source").eqNullSafe(F.col("source")))
         .select(key, "size", "source_size", "target", "__h", *extra, "rank", F.floor(each).alias("copies"), F.when(F.col("size") > 0, each - F.floor(each)).otherwise(0.0).alias("p"),
-                F.pmod("__h", F.ceil(F.col("documents") / CELL)).cast("long").alias("cell"))
+                F.pmod("__n", F.ceil(F.col("documents") / CELL)).cast("long").alias("cell"))
     )
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", coin boolean"

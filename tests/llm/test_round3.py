@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import conversation_trie as trie
-from millrace.llm import spelling, winnowing
+from millrace.llm import jaccard_join, mixing, spelling, winnowing
 
 LICENCE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -303,3 +303,31 @@ def test_queries(spark):
     rng = random.Random(0)
     for w in rng.sample(sorted(words), 150):
         assert found[w].n_near == sum(is_near(w, u) for u in words if abs(len(u) - len(w)) < 2)
+
+
+# The Jaccard join's prefixes and the mix's cells.
+def test_pages_of_a_template(spark, monkeypatch):
+    """Pages of one template, too different to be links, meet below prefixes in a bounded number of rounds and form no region; near copies among them are found."""
+    rng = np.random.default_rng(2)
+    frame = [f"f{k}" for k in range(60)]
+    texts = [" ".join(frame + [f"w{x}" for x in rng.integers(0, 10**6, 38)]) for _ in range(1500)]
+    texts += [texts[k].rsplit(" ", 1)[0] + " other" for k in range(0, 60, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, write = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "FEW", 16)
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: made.append(name) or write(df, name))
+    found = {r.doc_id: r for r in jaccard_join.jaccard_join(docs).collect()}
+    assert made.count("leads") <= jaccard_join.ROUNDS + 1
+    assert {i for i, r in found.items() if r.n_links} == {*range(0, 60, 2), *range(1500, 1530)}
+    assert all(found[1500 + k].class_id == 2 * k for k in range(30))
+
+
+def test_equal_rows_fill_all_cells(spark):
+    """Numbers deal 40,000 equal rows, and rows without id and text, evenly; they don't depend on how rows are dealt to tasks."""
+    rows = spark.range(40_000).select(F.lit(5).alias("doc_id"), F.lit("s").alias("source"), F.lit("same words").alias("text"))
+    rows = rows.unionByName(spark.range(2000).select(F.lit(None).cast("int").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text")))
+    cells = [r.n for r in mixing.numbered(rows).groupBy("source", F.pmod("__n", F.lit(10)).alias("c")).agg(F.count("*").alias("n")).collect()]
+    assert sorted(cells) == [200] * 10 + [4000] * 10
+    some = spark.createDataFrame([(k % 7, "ab"[k % 2], f"w {k % 50}") for k in range(500)], "doc_id long, source string, text string")
+    both = [sorted(map(tuple, mixing.numbered(df).collect()), key=repr) for df in (some, some.repartition(7, "text"))]
+    assert both[0] == both[1]
