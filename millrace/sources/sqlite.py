@@ -92,8 +92,8 @@ class _Reader(DataSourceReader):
                 low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
             except sqlite3.OperationalError:  # a view, or a table without row numbers
                 return [_Range(None, None)]
-        if low is None:
-            return []
+        if low is None:  # no rows, or a view, whose row numbers are null
+            return [_Range(None, None)]
         step = max(self.step, -(-(high - low + 1) // 10_000))
         return [_Range(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
