@@ -10,7 +10,7 @@ from .functions import vectors
 from .operators import blocks, cdc, joins, keyed, masking, quality, sqlstage, stats, textstages
 from .session import scratch
 from .sources import registry
-from .streaming import streams
+from .streaming import streams, totals
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -327,6 +327,29 @@ for _name in ("topk", "topk_each"):  # two names of one search, which every row
     _each(f"vec_cosine_{_name}", "cosine", "greatest(0.0, 1 - list_cosine_similarity(e, q))")
 
 
+def _ivf(embeddings: DataFrame, metric: str) -> DataFrame:
+    """query, vec_id, distance: approximate neighbours of every row divisible by 50 among all rows."""
+    index = vectors.InvertedLists(embeddings, "vec_id", "embedding", scratch(embeddings.sparkSession, "lists"), metric)
+    return index.search(embeddings.filter("vec_id % 50 = 0"), "embedding", 10)
+
+
+def _recall(name: str, metric: str) -> None:
+    """Whether nine in ten of the exact neighbours are found, and for how many queries; the neighbours themselves are ``vec_ivf_*_topk``."""
+
+    def measured(embeddings):
+        queries = embeddings.filter("vec_id % 50 = 0")
+        exact = vectors.nearest_to_each(embeddings, queries, "vec_id", "embedding", 10, metric).select("query", "vec_id")
+        met = exact.join(_ivf(embeddings, metric).select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left")
+        return met.agg(F.count_distinct("query").alias("queries"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("met"))
+
+    query(name, "SELECT count(*) AS queries, true AS met FROM embeddings WHERE vec_id % 50 = 0", "embeddings")(measured)
+
+
+for _metric in ("l2", "cosine"):
+    query(f"vec_ivf_{_metric}_topk", None, "embeddings")(lambda embeddings, m=_metric: _ivf(embeddings, m))
+    _recall(f"vec_ivf_{_metric}_recall", _metric)
+
+
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
 
 
@@ -416,3 +439,20 @@ def _mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch(spark, "mirror")
     streams.mirror(changes, target, ["user_id"], scratch(spark, "offsets"), ["event_id"]).awaitTermination()
     return keyed.read(spark, target).select("user_id", "value")
+
+
+@query("stream_running_totals", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS last FROM events GROUP BY user_id", "events")
+def _running(events):
+    """Totals by user, kept over triggers of a stream that stops half-way and goes on: the events in four files, a file a trigger."""
+    spark = events.sparkSession
+    source, target, offsets = (scratch(spark, x) for x in ("events", "totals", "offsets"))
+    parts = events.select("user_id", "value", F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"), (F.col("event_id") % 4).alias("part")).persist()
+    try:
+        for some in ((0, 1), (2, 3)):  # the second run finds the first one's state
+            for k in some:
+                parts.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(source)
+            stream = streams.files(spark, source, parts.drop("part"))
+            totals.keep(stream, target, ["user_id"], offsets, values=["value"], ts="ts").awaitTermination()
+    finally:
+        parts.unpersist()
+    return keyed.read(spark, target).select("user_id", "n", F.round("sum_value", 4).alias("total"), F.col("last").cast("timestamp_ntz").alias("last"))

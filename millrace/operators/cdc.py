@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 OPCODE = "__opcode"
@@ -60,15 +60,41 @@ def insert_if_absent(existing: DataFrame, rows: DataFrame, keys: list[str], orde
 
 
 def from_change_feed(df: DataFrame, kind: str = "_change_type") -> DataFrame:
-    """A change feed's kinds as opcodes; rows before an update are left out, and reading an unknown kind raises.
+    """A change feed's kinds as opcodes, those of tables, of documents (replace) and of first copies (read, snapshot); rows before an update are left out, and reading an unknown kind raises.
 
     The feed's other columns stay, so that ``latest`` can settle the order by its version.
     """
-    code = F.when(F.col(kind) == "insert", "I").when(F.col(kind) == "update_postimage", "U").when(F.col(kind) == "delete", "D")
+    code = F.when(F.col(kind).isin("insert", "read", "snapshot"), "I").when(F.col(kind).isin("update_postimage", "update", "replace", "upsert"), "U").when(F.col(kind) == "delete", "D")
     code = code.otherwise(F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce(F.col(kind), F.lit("null")))))
     return df.filter(~F.col(kind).eqNullSafe(F.lit("update_preimage"))).withColumn(OPCODE, code).drop(kind)
 
 
+def coerced(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, Observation]:
+    """Text columns of change events as the target's types, and what couldn't be read: null, counted by column when the result is used.
+
+    ``types``: bigint, int, double, boolean, date, timestamp, decimal and so on, or string.  Booleans are written true, false, t, f, in any case.  A
+    column that the events lack is null in all rows.  The observation has ``<column>`` for each column that isn't text.
+    """
+    seen, out, lost = Observation(), {}, []
+    for c, kind in types.items():
+        if c not in df.columns:
+            out[c] = F.lit(None).cast(kind)
+            continue
+        text = F.trim(F.col(c).cast("string"))
+        if kind == "string":
+            out[c] = F.col(c).cast("string")
+            continue
+        if kind == "boolean":
+            out[c] = F.when(F.lower(text).isin("t", "true"), True).when(F.lower(text).isin("f", "false"), False)
+        else:
+            out[c] = text.try_cast(kind)
+        lost.append((c, F.col(c).isNotNull() & out[c].isNull()))
+    marked = df.withColumns({f"__lost_{c}": bad for c, bad in lost}).withColumns(out)
+    if lost:
+        marked = marked.observe(seen, *[F.sum(F.col(f"__lost_{c}").cast("long")).alias(c) for c, _ in lost])
+    return marked.drop(*[f"__lost_{c}" for c, _ in lost]), seen
+
+
 def ordered_changes(changes: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Changes with their number within the key."""
     return changes.withColumn("change", F.row_number().over(Window.partitionBy(*keys).orderBy(position)))

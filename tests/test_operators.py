@@ -398,7 +398,7 @@ def test_stages_of_a_specification(spark, tmp_path):
     runner.run(spark, csv_spec(tmp_path, embedding=embedding, sinks=sinks))
     found = spark.read.parquet(str(tmp_path / "vectors"))
     assert found.columns == ["code", "who", "score", "v"] and found.count() == 3
-    for odd in ({"visualization": {"script": "x"}, "python": script}, {"dbt": {"project_dir": "d", "command": "run"}}):
+    for odd in ({"visualization": {"script": "x"}, "python": script}, {"dbt": {"project_dir": str(tmp_path), "command": "run"}}):
         with pytest.raises(SpecError):
             runner.run(spark, csv_spec(tmp_path, **odd))
 
