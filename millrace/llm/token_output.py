@@ -1,8 +1,8 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-Every sequence has a number of its own: its task's number and its place in the task.  A keyed Feistel network, walking its cycles back
-into the range of numbers, permutes all of them; a shard is an equal range of permuted numbers, so one shuffle moves every id once, into
-range partitions that are as large as each other.  A partition is sorted by permuted number and streams into a file of records with a
+Every sequence has a number that follows from its document, its place in it and, where many rows are equal, the row's number among them: so neither
+files nor tasks have a part in the order.  A keyed Feistel network, walking its cycles back into the range of numbers, permutes all of them; a shard is an
+equal range of permuted numbers, so one shuffle moves every id once, into range partitions that are as large as each other.  A partition is sorted by permuted number and streams into a file of records with a
 fixed stride: a header and the ids, padded.  A sequence's global slot is the number of records before it, which file
 sizes tell; so slots turn into shards and byte offsets, and reading goes on from any slot.
 """
@@ -21,7 +21,10 @@ from .tokens import EOS, default_path, encoder, few_rows, in_slices
 
 LENGTH = 512  # ids of a sequence
 SHARD_RECORDS = 8192  # records of a shard, about: a task reads a shard's file as one value
-TASKS, TASK_BITS = 1_000_000, 40  # tasks that numbers allow for, and bits of a number for the place in a task
+NUMBERS = 10**18  # that sequences have; two in 10**12 or so share one, and stand side by side
+# Rows that are equal more often than a share of all rows, and a share of a shard, get numbers among themselves; at most 1 / HOT rows can be that often.
+HOT, HOT_SHARD = 10_000, 16
+COPIES = 256  # equal rows that a task cuts at a time
 ROUNDS = 4
 # A record's header, little-endian: document, slot in the shard, shard, piece, number of ids (the top bit says that the document has no id), their CRC-32.
 HEADER = [("doc", "<i8"), ("slot", "<i8"), ("shard", "<u4"), ("piece", "<u4"), ("n", "<u4"), ("crc", "<u4")]
@@ -59,21 +62,40 @@ def record_type(length: int) -> np.dtype:
     return np.dtype([*HEADER, ("ids", "<u2", (length,))])
 
 
-def sequences(docs: DataFrame, path: str, shards: int, key: int, length: int = LENGTH, text: str = "text", doc: str = "doc_id") -> DataFrame:
+def _dealt(docs: DataFrame, rows: int, shard_records: int, text: str, doc: str) -> DataFrame:
+    """doc_id, __text, h1, h2, k, copies: rows with a hash of 128 bits, those that are often equal once for every ``COPIES`` of them, k the number of the first."""
+    raw = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    raw = raw.withColumns({"h1": F.xxhash64(key, "__text"), "h2": F.xxhash64(F.lit(1), key, "__text")})
+    often = max(shard_records // HOT_SHARD, rows // HOT, 1)
+    hot = raw.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > often).collect()  # HOT rows at most, but in small tables
+    once = {"k": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")}
+    if not hot:
+        return raw.withColumns(once)
+    known = F.broadcast(docs.sparkSession.createDataFrame([(r.h1, r.h2, r.n) for r in hot], "h1 long, h2 long, n long"))
+    many = raw.join(known, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("doc_id").alias("doc_id"), F.first("__text").alias("__text"), F.first("n").alias("n"))
+    many = many.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    many = many.withColumn("copies", F.least(F.col("n") - F.col("k"), F.lit(COPIES))).repartition("h1", "h2", "k")
+    columns = ["doc_id", "__text", "h1", "h2", "k", "copies"]
+    return raw.join(known.drop("n"), ["h1", "h2"], "left_anti").withColumns(once).select(columns).unionByName(many.select(columns))
+
+
+def sequences(docs: DataFrame, path: str, shards: int, key: int, length: int = LENGTH, text: str = "text", doc: str = "doc_id", rows: int | None = None, shard_records: int = SHARD_RECORDS) -> DataFrame:
     """doc_id, piece, shard, place, ids: whole documents with EOS as runs of at most ``length`` ids (16 bit), and their permuted number.
 
-    A null text is empty, and so one id long; repeated rows are documents of their own.
+    A null text is empty, and so one id long; repeated rows are documents of their own.  A vocabulary of more than 65,536 ids raises ValueError.
     """
     eos = np.array([EOS], np.uint32)
-    raw = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.spark_partition_id().alias("task"))
-    many = TASKS << TASK_BITS
-    width = -(-many // shards)
+    rows = docs.count() if rows is None else rows
+    width = -(-NUMBERS // shards)
 
     def cut(batches):
-        encode, given = encoder(path), 0
-        assert encode.size <= 1 << 16, "ids need more than 16 bits"
+        encode = encoder(path)
+        if encode.size > 1 << 16:
+            raise ValueError("ids need more than 16 bits")
         for batch in few_rows(batches):
             texts = batch.column(1).to_pylist()
+            h1, h2, first, copies = (batch.column(c).to_numpy() for c in (2, 3, 4, 5))
             for at, some in in_slices(texts):
                 row, piece, parts = [], [], []
                 for i, ids in enumerate(encode(some), at):
@@ -82,23 +104,25 @@ def sequences(docs: DataFrame, path: str, shards: int, key: int, length: int = L
                         row.append(i)
                         piece.append(p)
                         parts.append(ids[s : s + length].tobytes())
-                task = int(batch.column(2)[0].as_py()) << TASK_BITS
-                place = permute(task + given + np.arange(len(row)), many, key)
-                given += len(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array((place // width).astype(np.int32)), pa.array(place), pa.array(parts, pa.binary())],
-                    names=["doc_id", "piece", "shard", "place", "ids"],
-                )
+                row, piece, parts = np.array(row), np.array(piece), pa.array(parts, pa.binary())
+                for c in range(int(copies[row].max()) if len(row) else 0):
+                    here = np.flatnonzero(copies[row] > c)
+                    r, p = row[here], piece[here]
+                    number = _mix64(_mix64(h1[r].view(np.uint64) + p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ _mix64(h2[r].view(np.uint64) + (first[r] + c).astype(np.uint64)))
+                    place = permute(number % np.uint64(NUMBERS), NUMBERS, key)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(r)), pa.array(p.astype(np.int32)), pa.array((place // width).astype(np.int32)), pa.array(place), parts.take(pa.array(here))],
+                        names=["doc_id", "piece", "shard", "place", "ids"],
+                    )
 
-    return raw.mapInArrow(cut, "doc_id long, piece int, shard int, place long, ids binary")
+    return _dealt(docs, rows, shard_records, text, doc).mapInArrow(cut, "doc_id long, piece int, shard int, place long, ids binary")
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 0, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> int:
     """Writes ``docs`` to ``path``, a file for each shard that has records, and returns the number of shards.
 
     Files go through Spark's text writer, which commits whole tasks only and reaches any store; its line end is the last
-    byte of every record.  The order follows from ``key`` and from how Spark deals the rows of ``docs`` to tasks: give it a table or a
-    checkpoint, whose rows stay in their places when a task runs again.  No documents give no files.
+    byte of every record.  The order follows from ``key`` and the rows alone, however they are split or sorted.  No documents give no files.
     """
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     records = (size[0] or 0) // (2 * length) + size[1]  # about: an id has two bytes or more in most texts
@@ -124,7 +148,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int = 0, lengt
             offsets = np.arange(n + 1, dtype=np.int32) * kind.itemsize
             yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])], names=["record"])
 
-    dealt = sequences(docs, tokenizer, shards, key, length).repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
+    dealt = sequences(docs, tokenizer, shards, key, length, rows=size[1], shard_records=shard_records)
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("place", "doc_id", "piece", "ids")
     rows = dealt.select("doc_id", "piece", "shard", "ids").mapInArrow(pack, "record binary")
     rows.select(F.col("record").cast("string").alias("record")).write.option("compression", "none").text(path)
     return shards

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import conversation_trie as trie
-from millrace.llm import jaccard_join, mixing, spelling, winnowing
+from millrace.llm import jaccard_join, mixing, spelling, token_output, tokens, winnowing
 
 LICENCE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -331,3 +331,18 @@ def test_equal_rows_fill_all_cells(spark):
     some = spark.createDataFrame([(k % 7, "ab"[k % 2], f"w {k % 50}") for k in range(500)], "doc_id long, source string, text string")
     both = [sorted(map(tuple, mixing.numbered(df).collect()), key=repr) for df in (some, some.repartition(7, "text"))]
     assert both[0] == both[1]
+
+
+def test_order_of_rows_alone(spark, tmp_path):
+    """Two splits of the same rows give the same slots, rows that are equal thousands of times among them, and those fill all shards."""
+    rows = [(k if k % 9 else None, f"text {k} " * (k % 40)) for k in range(900)] + [(7, "often " * 30)] * 3000 + [(None, None)] * 500 + [(8, "twice")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    for k, held in enumerate((df.repartition(3), df.repartition(11, "text"), df.orderBy(F.desc("doc_id")).coalesce(1))):
+        found = token_output.training_order(held, tokens.default_path(), 3, 16, str(tmp_path / f"s{k}"), shard_records=64)
+        made.append([(r.slot, r.shard, r.doc_id, r.piece, r.ids_crc32) for r in sorted(found.collect(), key=lambda r: r.slot)])
+    assert made[0] == made[1] == made[2] and [r[0] for r in made[0]] == list(range(len(made[0])))
+    fixed = [r for r in made[0] if r[2] == 7]
+    assert len({r[1] for r in fixed}) == len({r[1] for r in made[0]})  # in every shard
+    sizes = [n for _, _, n in token_output.shard_files(spark, str(tmp_path / "s0"), 16)]
+    assert max(sizes) < 1.8 * sum(sizes) / len(sizes)
