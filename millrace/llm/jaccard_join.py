@@ -3,8 +3,7 @@
 Every text has a label path in each of TREES prefix tries: minima of random hashes over its word shingles.  A path is one number, so
 that numbers sort as the trie does and a shift shortens a prefix by a label.  Texts meet at DEPTH labels first: whoever is a near copy of the smallest text
 there is settled, and only the others' prefixes are shortened, down to the length at which pairs at the threshold share one in some tree with the
-target recall.  There texts are compared by their signatures, with the smallest of them for a few rounds and then with each other, in blocks where they are
-many.  Links so found connect regions, and any similar pair that shares a prefix is within one (see ``linked``).
+target recall.  There texts are compared by their signatures, with the smallest of them again and then with each other, in blocks where they are many.  Links so found connect regions, and any similar pair that shares a prefix is within one (see ``linked``).
 
 Tasks verify the pairs of a region exactly: shared shingles come from products of incidence matrices, block by block, so a large region
 is many tasks and no pair is ever a row.  In a large region, what is so near to its first text that any two must be similar needs no
@@ -27,7 +26,6 @@ LABEL = 8  # bits of a label in a path and a signature
 # Shares of equal labels: that settle a text with the smallest one, that link it to that, and that link texts compared with each other.
 SETTLED, LINKED, CLOSE = 0.96, 0.54, 0.6
 FEW = 512  # texts below a prefix whose signatures meet in one task
-ROUNDS = 4  # of comparisons with the smallest text, where more than those are left
 BLOCK = 1024  # texts of a region that one task compares with as many
 COLUMNS = 2048  # shingles of an incidence matrix at a time
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -143,8 +141,8 @@ def linked(rows: DataFrame, signatures: DataFrame, shift: int, few: int | None =
     """u, v: texts whose signatures agree.
 
     rows: path, t; signatures: t, labels; ``shift`` bits shorten a path to the final prefix.  The smallest text of a path leads, and one that agrees with it in
-    SETTLED of the labels is done in this tree; the other texts' prefixes are shortened.  Below a final prefix the smallest leads again; where more than ``few``
-    are left after it they choose a leader anew, for ROUNDS rounds, and then all pairs are compared, in blocks of ``few``.
+    SETTLED of the labels is done in this tree; the other texts' prefixes are shortened.  Below a final prefix the smallest leads again, and what doesn't settle
+    with it is compared with each other, in blocks of ``few``.
 
     Let x and y be similar, 1 - J <= 0.2, and share a final prefix.  If neither settles they are compared.  If x settles with z, then 1 - J(x, z) <= 0.08 but for
     chance (four deviations of 400 labels), and twice that if z, the leader of x's path, has settled too: so J(y, z) >= 0.64, and y agrees with z in
@@ -193,20 +191,11 @@ def linked(rows: DataFrame, signatures: DataFrame, shift: int, few: int | None =
         gone = deep.join(written(left.select("path", "t"), "unsettled"), ["path", "t"], "left_anti")
         leads = gone.groupBy("path").agg(F.min("t").alias("t"))
         rows = written(prefixes(leads.unionByName(left.select("path", "t"))), "below")
-    for _ in range(ROUNDS):
-        left = led(rows)
-        if left is None:
-            rows = None
-            break
-        rows = written(left, "below")
-        sizes = written(rows.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        small = rows.join(sizes.filter(F.col("n") <= few).drop("n"), "prefix").join(signatures, "t")
-        small = small.withColumns({c: F.lit(0) for c in ("block", "lo", "hi")})
-        found.append(written(small.groupBy("prefix").applyInPandas(compared, "u long, v long"), "compared"))
-        rows = rows.join(sizes.filter(F.col("n") > few).drop("n"), "prefix")
-    if rows is not None:
-        sizes = written(rows.groupBy("prefix").agg(F.ceil(F.count("*") / few).cast("int").alias("blocks")), "sizes")
-        each = rows.join(sizes, "prefix").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    left = led(rows)
+    if left is not None:
+        left = written(left, "below")
+        sizes = written(left.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1").select("prefix", F.ceil(F.col("n") / few).cast("int").alias("blocks")), "sizes")
+        each = left.join(sizes, "prefix").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
         each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         each = each.select("prefix", "t", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(signatures, "t")
         found.append(written(each.groupBy("prefix", "lo", "hi").applyInPandas(compared, "u long, v long"), "compared"))
