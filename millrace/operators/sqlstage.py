@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import TransformError
+from . import dialect
 
 COMMAND = "org.apache.spark.sql.catalyst.plans.logical.Command"
 SUBQUERY = "org.apache.spark.sql.catalyst.expressions.PlanExpression"
@@ -73,16 +74,21 @@ def _refuse(spark: SparkSession, sql: str, inputs: set[str]) -> None:
 def transform(inputs: dict[str, DataFrame], sql: str) -> DataFrame:
     """One query over ``inputs``, each a view of its name in a session of its own; double quotes enclose names.
 
+    ``DISTINCT ON`` and ``* REPLACE`` are understood, and nulls sort as the largest values unless the query says otherwise (see ``dialect``).
     The caller's views, tables, files and settings are neither seen nor touched.  Anything but a query over the inputs raises TransformError:
     commands, writes, scripts, calls of JVM methods, and relations that neither ``inputs`` nor the statement's own WITH clauses name.
     """
     spark = next(iter(inputs.values())).sparkSession
     try:
         own = _own_session(spark)
-        _refuse(own, sql or "", set(inputs))
+        spark_sql = dialect.rewritten(sql or "")
+        _refuse(own, spark_sql, set(inputs))
         for name, df in inputs.items():
             held = own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
             DataFrame(held, own).createOrReplaceTempView(name)
-        return own.sql(sql)
-    except (AnalysisException, ParseException) as e:
+        df = own.sql(spark_sql)
+        if (plain := dialect.plain_columns(sql)) and set(columns := own.sql(plain).columns) == set(df.columns) and len(set(columns)) == len(columns):
+            df = df.select(*[f"`{c}`" for c in columns])  # replaced columns stay in their places
+        return df
+    except (AnalysisException, ParseException, ValueError) as e:
         raise TransformError(str(e)) from e

@@ -52,8 +52,8 @@ def schema_of(path: str, table: str) -> str:
             raise SpecError(f"no table {table!r}")
         loose = [c for c, t in kinds.items() if t is None]
         for c in loose:
-            seen = db.execute(f"SELECT typeof({quoted(c)}) FROM (SELECT {quoted(c)} FROM {quoted(table)} LIMIT 1000) WHERE {quoted(c)} IS NOT NULL LIMIT 1").fetchone()
-            kinds[c] = {"integer": "bigint", "real": "double", "blob": "binary"}.get(seen[0] if seen else "", "string")
+            seen = {r[0] for r in db.execute(f"SELECT DISTINCT typeof({quoted(c)}) FROM (SELECT {quoted(c)} FROM {quoted(table)} LIMIT 1000) WHERE {quoted(c)} IS NOT NULL")}
+            kinds[c] = next((t for found, t in (({"integer"}, "bigint"), ({"integer", "real"}, "double"), ({"blob"}, "binary")) if seen and seen <= found), "string")
     return ", ".join(f"`{c}` {t}" for c, t in kinds.items())
 
 

@@ -197,7 +197,7 @@ def test_sqlite_reads(spark, tmp_path):
         of("absent").count()
 
 
-def test_filters_reach_sqlite(tmp_path):
+def test_filters_reach_sqlite(spark, tmp_path):
     """Typed comparisons are the file's work; those that SQLite sees in another way aren't."""
     from pyspark.sql import datasource as ds
     from pyspark.sql.types import StructType
@@ -319,3 +319,22 @@ def test_retries():
     with pytest.raises(ValueError):
         retry.retried(fails(9, ValueError("no such column")), sleep=waits.append)
     assert len(calls) == 1
+
+
+def test_dialect(spark):
+    """Habits of other engines in Spark's words; quoted text and products stay."""
+    t = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (2, None, "z"), (2, 3, "w"), (None, 1, "v")], "k long, v long, s string")
+    of = lambda sql: [tuple(r) for r in sqlstage.transform({"t": t}, sql).collect()]
+    assert of("SELECT v FROM t ORDER BY v") == [(1,), (3,), (5,), (7,), (None,)]
+    assert of("SELECT v FROM t ORDER BY v DESC, k LIMIT 2") == [(None,), (7,)] and of("SELECT v FROM t ORDER BY v ASC NULLS FIRST LIMIT 1") == [(None,)]
+    assert of("SELECT v FROM (SELECT v FROM t ORDER BY v DESC NULLS LAST LIMIT 2) ORDER BY v") == [(5,), (7,)]
+    assert of("SELECT DISTINCT ON (k) k, s FROM t ORDER BY k, v DESC") == [(1, "y"), (2, "z"), (None, "v")]
+    assert of("SELECT DISTINCT ON (k) s FROM t WHERE v > 0 ORDER BY k DESC NULLS LAST, v LIMIT 2") == [("w",), ("x",)]
+    assert sorted(of("SELECT DISTINCT ON (k) k FROM t UNION ALL SELECT 9"), key=repr) == [(1,), (2,), (9,), (None,)]
+    assert len(of("WITH a AS (SELECT DISTINCT ON (k) * FROM t ORDER BY k, v) SELECT count(*), 'ORDER BY k' FROM a")) == 1
+    assert of("SELECT * REPLACE (v * 2 AS v, concat(s, ', (AS b)') AS s) FROM t WHERE v = 5") == [(1, 10, "x, (AS b)")]
+    assert of("SELECT v * replace('2', 'x', 'y') AS p FROM t WHERE v = 5 -- ORDER BY * REPLACE (a AS b)") == [(10,)]
+    assert of("SELECT sum(v) OVER (ORDER BY v ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM t WHERE k = 1 ORDER BY s") == [(5,), (12,)]
+    for sql in ("SELECT DISTINCT ON (k) s FROM t ORDER BY 1", "SELECT DISTINCT ON (k s FROM t", "SELECT * REPLACE (v AS v FROM t"):
+        with pytest.raises(TransformError):
+            sqlstage.transform({"t": t}, sql)
