@@ -111,7 +111,8 @@ def licenses(docs: DataFrame, text: str = "text", templates: list[Template] | No
     and largest start, null without any.  labels has the base ones and those of verified templates, distinct, sorted and
     comma-joined; empty if none.  score is the largest share of a verified template's words that stand at their place,
     and at least 0.5 with a base phrase.  Null and empty texts have no words and score 0; rows come back once each,
-    repeated ones too; columns named like a new one are replaced; no documents give no rows.
+    repeated ones too; columns named like a new one are replaced; no documents give no rows.  Texts of any
+    length are read whole.
     """
     templates = default_templates() if templates is None else templates
     words = sorted({w for t in templates for k in t.keys for w in k})

@@ -166,7 +166,10 @@ def decision_list(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 
 def quality(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """``docs`` with STATS, base_failed and kept; same-named columns of ``docs`` are replaced, every row comes back once."""
+    """``docs`` with STATS, base_failed and kept; same-named columns of ``docs`` are replaced, every row comes back once.
+
+    Null and empty texts have no words and fail the base rules; texts of any length are read whole; no documents give no rows.
+    """
     held = docs.withColumn("__s", text_stats(F.col(text)))
     stat = lambda x: F.col(f"__s.{x}")
     failed = (stat("n_words") < 10) | (100 * stat("n_repeat_words") > 20 * stat("n_words"))

@@ -267,10 +267,16 @@ def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> Dat
                     yield found
                 rows, h, cut = rows.slice(size), h[size:], cut - size
 
+        have = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
-            if sum(b.num_rows for b in held) >= 2 * TOGETHER:
+            have += batch.num_rows
+            # Nothing is put together again and again while a group goes on.
+            if have >= 2 * TOGETHER and held[0].column("h")[0] != batch.column("h")[-1]:
                 yield from whole(False)
+                have = sum(b.num_rows for b in held)
         if held and sum(b.num_rows for b in held):
             yield from whole(True)
 

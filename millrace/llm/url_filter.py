@@ -35,7 +35,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     with the rule's.  The longest rule string wins, then the longer host, then ``block``.  Without a rule the verdict
     is ``default``, or ``no_host`` where the URL has no host to look up.  Every input row comes back once, repeated rows
     and null URLs too; columns of ``pages`` named like a new one are replaced; rules with a null are ignored; with no
-    rules only the defaults apply.
+    rules only the defaults apply.  URLs of any length are read whole, but only as many expressions come of one as rules have sizes.  No pages give no rows.
     """
     rules = rules.select("host", "path", "verdict").dropna()
     # Bounded: at most 127 labels a host, and as many path lengths as URLs can have.

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import oracle
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import conversation_trie as trie
-from millrace.llm import jaccard_join, mixing, spelling, token_output, tokens, winnowing
+from millrace.llm import jaccard_join, mixing, spelling, token_output, tokens, url_filter, winnowing
 
 LICENCE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -346,3 +347,64 @@ def test_order_of_rows_alone(spark, tmp_path):
     assert len({r[1] for r in fixed}) == len({r[1] for r in made[0]})  # in every shard
     sizes = [n for _, _, n in token_output.shard_files(spark, str(tmp_path / "s0"), 16)]
     assert max(sizes) < 1.8 * sum(sizes) / len(sizes)
+
+
+# The pipeline.
+def plain_cut(rows):
+    """Texts without what stands elsewhere too: strings of 400 bytes, passages of 51 words and whole copies; for plain ASCII."""
+    seen, spans = Counter(), []
+    for i, t in enumerate(rows):
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        w = t.split()
+        found = [(s, s + 400, t[s : s + 400]) for s in range(len(t) - 399)] + [(at[k][0], at[k + 50][1], tuple(w[k : k + 51])) for k in range(len(w) - 50)]
+        seen.update(x for *_, x in found)
+        spans += [(i, *x) for x in found]
+    gone = [np.zeros(len(t), bool) for t in rows]
+    for i, lo, hi, x in spans:
+        if seen[x] > 1:
+            gone[i][lo:hi] = True
+    return ["".join(c for c, g in zip(t, gone[i], strict=True) if not g) for i, t in enumerate(rows)]
+
+
+def corpus(spark, folder, rows, labels=()):
+    made = [(i, t, "en", s, len(t or ""), "mine", 7) for i, t, s in rows]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, kept string, size int").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Nulls, repeated rows, near copies, shared passages and clashing columns, stage by stage, the third against a plain version."""
+    rng = random.Random(3)
+    some = lambda n: [rng.choice("abcdefgh") + str(rng.randint(0, 9999)) for _ in range(n)]
+    passage, base = some(60), some(120)
+    rows = [(k, " ".join(some(rng.randint(30, 90)) + (passage if k % 5 == 0 else []) + some(20)), ["a", "b", None][k % 3]) for k in range(60)]
+    rows += [(100 + k, " ".join(base[: 40 + k] + ["new"] + base[41 + k :]), "a") for k in range(6)] + [rows[1], rows[1], (None, rows[2][1], "b"), (None, None, None), (200, "", "a"), (201, "too short", "a"), (202, "again and " * 80, "b")]
+    sf = corpus(spark, tmp_path, rows, [(1, 1, 0), (201, 0, 0), (999, 0, 1)])
+    docs, columns, held = spark.read.parquet(f"{sf}/documents.parquet"), None, []
+    for name, stage in corpus_pipeline.STAGES:
+        columns = columns or docs.columns
+        docs = trie.written(stage(spark, docs, sf), "stage")
+        held.append(docs.collect())
+        assert name == "best-fit packing" or docs.columns == columns, name
+    quality, one, cut, mixed, packed = held
+    assert Counter((r.doc_id, r.text) for r in quality) == Counter((i, t) for i, t, _ in rows if t and len(t.split()) >= 10 and not t.startswith("again"))
+    assert sorted((r.doc_id for r in one), key=repr) == sorted([*range(60), 100], key=repr) and {r.kept for r in one} == {"mine"}
+    texts = [r.text for r in one]
+    assert Counter(zip((r.doc_id for r in one), plain_cut(texts), strict=True)) == Counter((r.doc_id, r.text) for r in cut)
+    assert all(" ".join(passage[:51]) not in r.text for r in cut) and all(r.n_chars == len(r.text) for r in cut)
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in cut} and len([r for r in packed if r.piece == 0]) == len(mixed) > 0
+    whole = corpus_pipeline.run(spark, sf)
+    assert sorted(map(tuple, whole.select("doc_id", "piece", "length", "ids_crc32").collect()), key=repr) == sorted(((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed), key=repr)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None), (2, "short", "a"), (None, "", "b")]])
+def test_pipeline_of_nothing(spark, tmp_path, rows):
+    """No documents, and documents that are all rejected."""
+    assert corpus_pipeline.run(spark, corpus(spark, tmp_path, rows)).count() == 0
+
+
+def test_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "net/es/" + "p/" * 300_000), (2, "http://net/es/")], "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.url_verdicts(pages, rules).collect()} == {1: ("net/es/", "block"), 2: ("net/es/", "block")}
