@@ -117,7 +117,7 @@ def test_inverted_lists(spark, tmp_path, metric):
     """Nine in ten of the exact neighbours; all of them when all lists are probed; equal, null and zero vectors, and equal ids."""
     rng = np.random.default_rng(1)
     rows = [(k, (rng.normal(0, 0.3, 8) + 3 * (k % 9 == np.arange(8))).tolist()) for k in range(3000)]
-    rows += [(5000 + k, rows[0][1]) for k in range(300)] + [(7, None), (9000, [0.0] * 8), (0, rows[3][1])]
+    rows += [(5000 + k, rows[0][1]) for k in range(300)] + [(7, None), (9000, [0.0] * 8), (1, rows[3][1])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
     index = vectors.InvertedLists(df, "id", "v", str(tmp_path / "ivf"), metric)
     assert index.measured >= 0.95 and index.probes < len(index.centres) == 57

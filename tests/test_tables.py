@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.errors import SpecError, TransformError
 from millrace.operators import cdc, joins, keyed, sqlstage, textstages
 from millrace.plans import lineage
-from millrace.sources import registry, retry
+from millrace.sources import preview, registry, retry
 
 
 def rows_of(df):
@@ -338,3 +338,15 @@ def test_dialect(spark):
     for sql in ("SELECT DISTINCT ON (k) s FROM t ORDER BY 1", "SELECT DISTINCT ON (k s FROM t", "SELECT * REPLACE (v AS v FROM t"):
         with pytest.raises(TransformError):
             sqlstage.transform({"t": t}, sql)
+
+
+def test_previews(spark, tmp_path):
+    """SQL sees the sample, not the table; nulls are left out; commands are refused."""
+    spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("even"), F.array("id").alias("xs")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    node = {"name": "events", "connector": "parquet", "config": {"path": str(tmp_path / "t")}}
+    rows = json.loads(preview.query_data(spark, node))
+    assert len(rows) == 500 and rows[1] == {"id": 1, "xs": [1]} and rows[2]["even"] == "2"
+    assert json.loads(preview.query_data(spark, node, "SELECT count(*) AS n, max(id) AS top FROM events")) == [{"n": 500, "top": 499}]
+    assert [len(preview.rows_of(spark.range(900), k)) for k in (0, 7, 9999)] == [1, 7, 500] and preview.rows_of(spark.range(0)) == []
+    with pytest.raises(TransformError):
+        preview.query_data(spark, node, "DROP TABLE events")
