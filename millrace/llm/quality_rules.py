@@ -186,5 +186,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, repeated rows each; null, empty and short texts fail the base rules and go."""
-    columns = docs.columns
-    return quality(docs.select("*"), decision_list(docs, table(spark, sf_dir, "labels"))).filter("kept").select(*columns)
+    # Columns named like a result come back as they were.
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in {*STATS, "base_failed", "kept"}}
+    held = docs.withColumnsRenamed(own) if own else docs.select("*")
+    found = quality(held, decision_list(docs, table(spark, sf_dir, "labels"))).filter("kept")
+    return found.select(*[F.col(own.get(c, c)).alias(c) if c in own else c for c in docs.columns])
