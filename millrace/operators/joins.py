@@ -57,12 +57,19 @@ def _number(df: DataFrame, c: str) -> Column:
     return (F.unix_date(df[c]) if kind == "date" else df[c]).cast("double")
 
 
+#: Bins that an interval's level has for its length, and rows of a bin that meet as many of the other side in a task.
+FINE, BLOCK = 4, 4096
+#: The shortest level, in powers of two of the median length; shorter intervals are in it.
+SHORTEST = -8
+
+
 def intervals(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str]) -> DataFrame:
     """Each pair of rows whose closed intervals overlap, once; ends are numbers, dates or times, and column names of the two sides differ.
 
-    An interval has a level, the power of two of its length in units of the median length, and meets the other side's intervals of level m or less in
-    bins as wide as that level: it lies in two bins at most.  A pair is joined at the larger of its levels, in the bin where the overlap begins, so
-    long intervals neither multiply nor meet in a loop over all.  Rows with a null or unordered end (start behind end) meet nothing.
+    Of two intervals that overlap, one holds the other's start: the right one the left's, or the left one a start that is later than its own.  So starts
+    are looked up in the other side's intervals, in bins of a quarter of an interval's level, the power of two of its length in units of the median
+    length.  An interval lies in five bins at most, a start in one of each level, and most of what meets in a bin is a pair.  Crowded bins are dealt in
+    blocks of about ``BLOCK`` rows, each pair of blocks to be met in any task.  Rows with a null or unordered end (start behind end) meet nothing.
     """
     if clash := {c for c in left.columns if c in right.columns}:
         raise SpecError(f"both sides have {sorted(clash)}")
@@ -70,18 +77,37 @@ def intervals(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], rig
     sides = [ends(left, left_ends), ends(right, right_ends)]
     lengths = sides[0].selectExpr("__b - __a AS n").unionByName(sides[1].selectExpr("__b - __a AS n")).filter("n > 0")
     unit = (lengths.approxQuantile("n", [0.5], 0.05) or [1.0])[0]
-    level = F.greatest(F.ceil(F.log2((F.col("__b") - F.col("__a")) / unit)), F.lit(0)).cast("int")
-    sides = [s.withColumn("__level", F.when(F.col("__b") > F.col("__a"), level).otherwise(0)) for s in sides]
-    levels = sorted({r[0] for s in sides for r in s.select("__level").distinct().collect()})  # as many as lengths have binary orders of magnitude
-    bins = F.array(*[F.struct(F.lit(k).alias("m"), F.lit(unit * 2.0**k).alias("w")) for k in levels])
-
-    def dealt(s: DataFrame, side: str) -> DataFrame:
-        held = s.select(F.struct(*[s[c] for c in s.columns if not c.startswith("__")]).alias(f"__{side}"), F.col("__a").alias(f"__a{side}"), F.col("__b").alias(f"__b{side}"), F.col("__level").alias(f"__v{side}"))
-        upward = F.filter(bins, lambda x: x["m"] >= F.col(f"__v{side}"))
-        each = held.withColumn("__x", F.explode(upward)).withColumn("__m", F.col("__x.m")).withColumn("__w", F.col("__x.w")).drop("__x")
-        # An interval at its own or a higher level reaches into the next bin at most.
-        return each.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(f"__a{side}") / F.col("__w")), F.floor(F.col(f"__b{side}") / F.col("__w")))))
-
-    a, b = dealt(sides[0], "l"), dealt(sides[1], "r").drop("__w")
-    pairs = a.join(b, ["__m", "__bin"]).filter("__al <= __br AND __ar <= __bl AND greatest(__vl, __vr) = __m AND floor(greatest(__al, __ar) / __w) = __bin")
-    return pairs.select("__l.*", "__r.*")
+    level = F.greatest(F.ceil(F.log2((F.col("__b") - F.col("__a")) / unit)), F.lit(SHORTEST)).cast("int")
+    sides = [s.withColumn("__level", F.when(F.col("__b") > F.col("__a"), level).otherwise(SHORTEST)) for s in sides]
+    columns = [*left.columns, *right.columns]
+    return _held(sides[0], sides[1], unit, True).select(columns).unionByName(_held(sides[1], sides[0], unit, False).select(columns))
+
+
+def _held(starts: DataFrame, held_by: DataFrame, unit: float, first: bool) -> DataFrame:
+    """Rows of ``starts`` with those of ``held_by`` whose intervals hold their start; unless ``first``, not if both start together."""
+    levels = sorted(r[0] for r in held_by.select("__level").distinct().collect())  # as many as lengths have binary orders of magnitude
+    wide = lambda m: unit * 2.0**m / FINE
+    bins = [F.struct(F.lit(m).alias("m"), F.floor(F.col("__a") / wide(m)).alias("bin")) for m in levels]
+    kind = "array<struct<m:int,bin:bigint>>"
+    points = starts.withColumn("__p", F.col("__a")).withColumn("__x", F.explode(F.array(*bins) if bins else F.array().cast(kind)))
+    points = points.select(*_own(starts), "__p", F.col("__x.m").alias("__m"), F.col("__x.bin").alias("__bin"))
+    width = F.lit(unit / FINE) * F.pow(F.lit(2.0), F.col("__level"))
+    spans = held_by.select(*_own(held_by), "__a", "__b", F.col("__level").alias("__m"), F.explode(F.sequence(F.floor(F.col("__a") / width), F.floor(F.col("__b") / width))).alias("__bin"))
+    place = ["__m", "__bin"]
+    blocks = lambda df, name: df.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(points, "__i").join(blocks(spans, "__j"), place)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in one block of its bin, once for each block of the other side's."""
+        hashable = [F.col(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+        met = df.join(sizes, place).withColumn(own, F.pmod(F.xxhash64(*hashable), F.col(own)).cast("int"))
+        # By number, as a few rows may make many pairs: small partitions are not to be put together.
+        return met.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).repartition(parts, *place, "__i", "__j")
+
+    parts = int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = dealt(points, "__i", "__j").join(dealt(spans, "__j", "__i"), [*place, "__i", "__j"])
+    return pairs.filter("__a <= __p AND __p <= __b" if first else "__a < __p AND __p <= __b")
+
+
+def _own(df: DataFrame) -> list[Column]:
+    return [df[c] for c in df.columns if c not in ("__a", "__b", "__level")]
