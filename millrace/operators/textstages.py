@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,31 +67,55 @@ def hash_embed(texts, dimension: int):
     """Vectors that depend on words alone: for tests and for runs without a model."""
     import numpy as np
 
-    out = np.zeros((len(texts), dimension), np.float32)
+    known: dict[str, int] = {}  # a number for each different word, which is hashed once
+    words, many = [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        for w in (t or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            out[i, h % dimension] += 1 if h >> 63 else -1
-        n = float(np.sqrt((out[i] ** 2).sum()))
-        if n:
-            out[i] /= n
-    return out
+        found = [known.setdefault(w, len(known)) for w in (t or "").lower().split()]
+        words += found
+        many[i] = len(found)
+    h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in known], np.uint64)
+    place, sign = (h % np.uint64(dimension)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+    words = np.array(words, np.int64)
+    row = np.repeat(np.arange(len(texts)), many)
+    out = np.bincount(row * dimension + place[words], sign[words], len(texts) * dimension).astype(np.float32).reshape(len(texts), dimension)
+    n = np.sqrt((out**2).sum(axis=1, keepdims=True))
+    return np.divide(out, n, out=out, where=n > 0)
+
+
+CHARS = 1_000_000  # of text that is embedded together, or one longer text
+
+
+def _slices(sizes: list[int]):
+    """Ranges of neighbours with at most CHARS in all, or one larger."""
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > CHARS:
+            yield at, i
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _vectors(embedder, texts: list[str], dimension: int):
+    import numpy as np
+
+    found = embedder(texts, dimension)
+    if any(len(v) != dimension for v in found):
+        raise ValueError("the embedder's vectors have another dimension")
+    return np.asarray(found, np.float32).reshape(len(texts), dimension)
 
 
 def embed(df: DataFrame, column: str, output: str, dimension: int, embedder=hash_embed) -> DataFrame:
     """``df`` with vectors of ``column`` in ``output``, last; rows without text are left out.
 
-    ``embedder(texts, dimension)`` gets whole Arrow batches; a vector of another length raises.
+    ``embedder(texts, dimension)`` gets neighbours of at most ``CHARS`` characters together, or one longer text; a vector of another length raises.
     """
 
-    @F.pandas_udf("array<float>")
-    def vectors(s):
-        import pandas as pd
-
-        found = embedder(s.tolist(), dimension)
-        if any(len(v) != dimension for v in found):
-            raise ValueError("the embedder's vectors have another dimension")
-        return pd.Series([list(map(float, v)) for v in found])
+    @F.arrow_udf("array<float>")
+    def vectors(s: pa.Array) -> pa.Array:
+        parts = [_vectors(embedder, s.slice(a, b - a).to_pylist(), dimension).ravel() for a, b in _slices(pc.utf8_length(s).to_pylist())]
+        return pa.ListArray.from_arrays(pa.array(range(0, (len(s) + 1) * dimension, dimension), pa.int32()), pa.concat_arrays([pa.array(x, pa.float32()) for x in parts] or [pa.nulls(0, pa.float32())]))
 
     return df.filter(F.length(column) > 0).withColumn(output, vectors(F.col(column)))
 
