@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
 from ..functions.text import fixed_windows, prompt, sentences
-from ..functions.vectors import cosine
 from ..session import scratch
 
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
@@ -120,21 +120,52 @@ def embed(df: DataFrame, column: str, output: str, dimension: int, embedder=hash
     return df.filter(F.length(column) > 0).withColumn(output, vectors(F.col(column)))
 
 
+def _joined(texts: list[list[str]], dimension: int, threshold: float, embedder) -> list[list[str]]:
+    """Sentences of each text joined while each is similar enough to the one before; cosines are summed as ``functions.vectors.cosine`` does."""
+    import numpy as np
+
+    flat = [x for t in texts for x in t]
+    if not flat:
+        return texts
+    v = _vectors(embedder, flat, dimension).astype(np.float64)
+
+    def dot(a, b):
+        total = np.zeros(len(a))
+        for k in range(dimension):
+            total += a[:, k] * b[:, k]
+        return total
+
+    size = np.sqrt(dot(v, v))
+    both = size[:-1] * size[1:]
+    new = np.ones(len(flat), bool)
+    new[1:] = np.where(both == 0, 0.0, dot(v[:-1], v[1:]) / np.where(both == 0, 1.0, both)) < threshold
+    out, at = [], 0
+    for t in texts:
+        cuts = [0, *(k for k in range(1, len(t)) if new[at + k]), len(t)]
+        out.append([" ".join(t[a:b]) for a, b in itertools.pairwise(cuts)] if t else [])
+        at += len(t)
+    return out
+
+
 def semantic_chunks(df: DataFrame, column: str, dimension: int, threshold: float = 0.8, embedder=hash_embed) -> DataFrame:
     """A row for each chunk, which replaces the text: sentences joined while each is similar enough to the one before.
 
-    ``chunk_index`` counts from 0 within a row; the other columns stay, and equal rows are cut apart from each other.
+    ``chunk_index`` counts from 0 within a row; the other columns stay, and equal rows are cut apart from each other.  A text is cut where it is read: nothing is shuffled.
     """
+
+    @F.arrow_udf("array<string>")
+    def chunks(s: pa.Array) -> pa.Array:
+        out: list = []
+        sizes = pc.fill_null(pc.list_value_length(s), 0).to_pylist()
+        chars = pc.utf8_length(s.flatten()).to_pylist()
+        ends = list(itertools.accumulate(sizes, initial=0))
+        for a, b in _slices([sum(chars[x:y]) for x, y in itertools.pairwise(ends)]):
+            out += _joined([t or [] for t in s.slice(a, b - a).to_pylist()], dimension, threshold, embedder)
+        return pa.array(out, pa.list_(pa.string()))
+
     rest = [c for c in df.columns if c != column]
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    each = rows.select("__row", F.struct(*rest).alias("__rest") if rest else F.lit(None).alias("__rest"), F.posexplode(sentences(F.col(column))).alias("pos", "sentence"))
-    w = Window.partitionBy("__row").orderBy("pos")
-    held = embed(each, "sentence", "v", dimension, embedder)
-    new = F.when(F.lag("v").over(w).isNull() | (cosine(F.lag("v").over(w), F.col("v")) < threshold), 1).otherwise(0)
-    held = held.withColumn("new", new).withColumn("chunk_index", (F.sum("new").over(w) - 1).cast("int"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ")
-    made = held.groupBy("__row", "chunk_index").agg(F.first("__rest").alias("__rest"), joined.alias("__chunk"))
-    return made.select(*[F.col("__chunk").alias(c) if c == column else F.col(f"__rest.{c}").alias(c) for c in df.columns], "chunk_index")
+    exploded = df.select(*rest, F.posexplode(chunks(sentences(F.col(column)))).alias("chunk_index", "__chunk"))
+    return exploded.select(*[F.col("__chunk").alias(c) if c == column else F.col(c) for c in df.columns], F.col("chunk_index"))
 
 
 def cache_key(model: str, prompt_column: str, max_tokens: int, temperature: float):
