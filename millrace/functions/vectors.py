@@ -43,18 +43,40 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
+def _near(q: np.ndarray, x: np.ndarray, size: np.ndarray, k: int, metric: str) -> list[np.ndarray]:
+    """For each of ``q`` the numbers of rows of ``x`` that may be among its ``k`` nearest: by a matrix product, and all within its rounding of the k-th."""
+    everything = np.arange(len(x))
+    if len(x) <= k:
+        return [everything] * len(q)
+    lengths = np.sqrt((q * q).sum(axis=1))
+    with np.errstate(all="ignore"):
+        d, slack = q @ x.T, np.full(len(q), 1e-10)
+        if metric == "l2":
+            d *= -2
+            d += size * size
+            d += (lengths * lengths)[:, None]
+            slack = 1e-11 * (lengths + size.max()) ** 2
+        else:
+            both = lengths[:, None] * size
+            d = np.maximum(1 - np.where(both == 0, 0.0, d / np.where(both == 0, 1.0, both)), 0.0)
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1] + slack
+        sure = np.isfinite(d).all(axis=1) & np.isfinite(bound)
+    return [np.flatnonzero(row <= b) if ok else everything for row, b, ok in zip(d, bound, sure, strict=True)]
+
+
 def _best(q_ids, q, ids, x, k: int, metric: str, key: str) -> pa.RecordBatch:
     """The ``k`` rows of ``x`` nearest to each of ``q``, ties by id."""
     size, found = np.sqrt((x * x).sum(axis=1)), ([], [], [])
-    for i, v in zip(q_ids, q, strict=True):
+    for i, v, some in zip(q_ids, q, _near(q, x, size, k, metric), strict=True):
+        part = x[some]
         if metric == "l2":
-            d = np.sqrt(((x - v) ** 2).sum(axis=1))
+            d = np.sqrt(((part - v) ** 2).sum(axis=1))
         else:
-            both = size * np.sqrt((v * v).sum())
-            d = np.maximum(1 - np.where(both == 0, 0.0, (x * v).sum(axis=1) / np.where(both == 0, 1.0, both)), 0.0)
+            both = size[some] * np.sqrt((v * v).sum())
+            d = np.maximum(1 - np.where(both == 0, 0.0, (part * v).sum(axis=1) / np.where(both == 0, 1.0, both)), 0.0)
         near = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-        best = near[np.lexsort((ids[near], d[near]))[:k]]
-        for column, part in zip(found, (np.full(len(best), i), ids[best], d[best]), strict=True):
+        best = near[np.lexsort((ids[some[near]], d[near]))[:k]]
+        for column, part in zip(found, (np.full(len(best), i), ids[some[best]], d[best]), strict=True):
             column.append(part)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, t)) for c, t in zip(found, (np.int64, np.int64, np.float64), strict=True)], names=["query", key, "distance"])
 
@@ -117,7 +139,7 @@ def _closest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     square = (c * c).sum(axis=1)
     for at in range(0, len(x), 1024):
         d = square - 2 * x[at : at + 1024] @ c.T
-        out[at : at + 1024] = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out[at : at + 1024] = np.argmin(d, axis=1)[:, None] if k == 1 else np.argsort(d, axis=1, kind="stable")[:, :k]
     return out
 
 
