@@ -18,7 +18,7 @@ UPDATED, EXPIRED = "updated", "expired"
 
 
 class _Totals(StatefulProcessor):
-    def __init__(self, keys: list[str], values: list[str], ts: str, idle_ms: int | None):
+    def __init__(self, keys: list[str], values: list[str], ts: str, idle_ms: int):
         self.keys, self.values, self.ts, self.idle_ms = keys, values, ts, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -47,10 +47,9 @@ class _Totals(StatefulProcessor):
                 held[2 + 2 * k] += float(fit.sum())
                 held[3 + 2 * k] += len(fit)
         self.state.update(tuple(held))
-        if self.idle_ms is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(held[1] // 1000 + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(held[1] // 1000 + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
         yield self._row(key, held, UPDATED)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
@@ -72,13 +71,13 @@ def running(stream: DataFrame, keys: list[str], values: list[str], ts: str, late
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    if idle_seconds is None:  # nothing expires: Spark's own aggregate keeps the same row for each key, without a call of Python for it
+        sums = [F.sum(F.col(v).cast("double")).alias(f"sum_{v}") for v in values]
+        return stream.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.col(ts).cast("timestamp")).alias("last"), *sums).withColumn("kind", F.lit(UPDATED))
     kinds = dict(stream.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, last timestamp, " + "".join(f"`sum_{v}` double, " for v in values) + "kind string"
-    rows = stream.select(*keys, *[F.col(v).cast("double").alias(v) for v in values], F.col(ts).cast("timestamp").alias(ts))
-    if idle_seconds is not None:
-        rows = rows.withWatermark(ts, late)
-    processor = _Totals(keys, values, ts, None if idle_seconds is None else idle_seconds * 1000)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Update", "None" if idle_seconds is None else "EventTime")
+    rows = stream.select(*keys, *[F.col(v).cast("double").alias(v) for v in values], F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, late)
+    return rows.groupBy(*keys).transformWithStateInPandas(_Totals(keys, values, ts, idle_seconds * 1000), schema, "Update", "EventTime")
 
 
 def keep(stream: DataFrame, target: str, keys: list[str], checkpoint: str, **options):
