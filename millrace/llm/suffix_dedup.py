@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, text_key, written
+from .common import forget, mark, new_path, table, text_key, written
 from .tokens import few_rows
 
 WINDOW, KMER = 400, 100
-#: Words of a passage that the pipeline's stage removes (any of over 50), and of an anchor.
+#: Words of a passage (any of over 50) that the pipeline's stage removes and op2 counts, and of an anchor.
 WORDS, WORD_KMER = 51, 16
 #: Contexts that go through the rounds together, unless one anchor has more.
 TOGETHER = 8192
@@ -149,7 +149,7 @@ def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> Dat
     """__k1, __k2, lo, hi: strings of ``window`` bytes, or words, that stand anywhere else, joined where they overlap in a context."""
     lead = window - kmer  # symbols before the anchor in a context
     width = lead + window
-    keys = ["__k1", "__k2"]
+    keys, since = ["__k1", "__k2"], mark(texts.sparkSession)
 
     def find(batches):
         powers = _powers(1 << 16)
@@ -219,6 +219,7 @@ def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32()), pa.array(out[6], pa.int64())], names=[*keys, "h", "p", "context", "lo", "hi", "digest"])
 
     contexts = written(near.mapInArrow(surround, "__k1 long, __k2 int, h long, p int, context binary, lo int, hi int, digest long"), "contexts")
+    forget(texts.sparkSession, since, contexts)
 
     def rounds(batches):
         held: list[pa.RecordBatch] = []
@@ -289,14 +290,15 @@ def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> Dat
     return dealt.mapInArrow(rounds, "__k1 long, __k2 int, lo int, hi int").unionByName(shared).unionByName(contexts.filter("h IS NULL").select(*keys, "lo", "hi"))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "text", keep: bool = True, words: int | None = None, word_kmer: int = WORD_KMER) -> DataFrame:
-    """A row for each different text: __k1, __k2, n_bytes, n_removed, n_spans, kept_sha256, and kept if ``keep``.
+def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "text", keep: bool = True, words: int | None = None, word_kmer: int = WORD_KMER, passages: bool = False) -> DataFrame:
+    """A row for each different text: __k1, __k2, n_bytes, n_removed, n_spans, kept_sha256, and kept if ``keep``.  With ``passages``, n_passages and n_passage_bytes too.
 
     kept is what is left as text, without the bytes of characters that a cut has broken.
 
     Removed is each byte covered by a string of ``window`` bytes that starts anywhere else too, in the same text or another
     row; a text that several rows have is removed as a whole if it is long enough.  With ``words``, so is each
-    byte from the first to the last of that many words in a row that stand anywhere else, whatever white space is between them.  Null and
+    byte from the first to the last of that many words in a row that stand anywhere else, whatever white space is between them; with ``passages``, these
+    stay, and their maximal runs and the bytes of these are counted in columns of their own.  Null and
     empty texts count as empty, other columns are left out, and no documents give no rows.  Memory: a task holds one text and ``2 * window - kmer`` bytes, or words, for each different context of its most
     frequent anchor.
     """
@@ -310,41 +312,53 @@ def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text: str = "
     spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "words")).alias("spans"))
 
     def cut(batches):
+        def covered_bytes(lo, hi, size):
+            gone = np.cumsum(np.bincount(lo, minlength=size + 1).astype(np.int64) - np.bincount(hi, minlength=size + 1))[:size] > 0
+            return gone, int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+
         fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * keep
+        fields += [("n_passages", pa.int64()), ("n_passage_bytes", pa.int64())] * passages
         for batch in few_rows(batches):
             out: list[list] = [[] for _ in fields]
             for x, n, covered in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 raw = x.as_buffer().to_pybytes()
-                kept, removed, runs = raw, 0, 0
-                if n > 1 and (len(raw) >= window or (words and len(raw.split()) >= words)):
+                kept, removed, runs, found, found_bytes = raw, 0, 0, 0, 0
+                lo, hi, by_word = (covered.values.field(k).to_numpy(zero_copy_only=False) for k in range(3)) if covered.is_valid else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool))
+                enough = False
+                if words and (n > 1 or by_word.any()):
+                    start, stop = word_places(raw)
+                    enough = n > 1 and len(start) >= words
+                    lo, hi = lo.copy(), hi.copy()
+                    lo[by_word], hi[by_word] = start[lo[by_word]], stop[hi[by_word] - 1]
+                    if passages and enough:
+                        found, found_bytes = 1, int(stop[-1] - start[0])
+                    elif passages:
+                        _, found_bytes, found = covered_bytes(lo[by_word], hi[by_word], len(raw))
+                if passages:
+                    lo, hi, enough = lo[~by_word], hi[~by_word], False
+                if n > 1 and (len(raw) >= window or enough):
                     kept, removed, runs = b"", len(raw), 1
-                elif covered.is_valid and len(covered.values):
-                    lo, hi, by_word = (covered.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                    if by_word.any():
-                        start, stop = word_places(raw)
-                        lo, hi = lo.copy(), hi.copy()
-                        lo[by_word], hi[by_word] = start[lo[by_word]], stop[hi[by_word] - 1]
-                    depth = np.bincount(lo, minlength=len(raw) + 1).astype(np.int64) - np.bincount(hi, minlength=len(raw) + 1)
-                    gone = np.cumsum(depth)[: len(raw)] > 0
+                elif len(lo):
+                    gone, removed, runs = covered_bytes(lo, hi, len(raw))
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    removed = int(gone.sum())
-                    runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                for column, value in zip(out, (len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep else ""), strict=False):
+                row = (len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * keep, *[found, found_bytes] * passages)
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True))], names=[*keys, *(f for f, _ in fields)])
 
-    schema = "__k1 long, __k2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep
+    schema = "__k1 long, __k2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep + ", n_passages long, n_passage_bytes long" * passages
     return texts.select(*keys, "text", "n").join(spans.hint("shuffle_hash"), keys, "left").mapInArrow(cut, schema)
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row a document: key, n_bytes, n_removed, n_spans, kept_sha256; repeated rows come back each, other columns are left out."""
+    """One row a document: key, n_bytes, n_removed, n_spans, kept_sha256, and what ``passages`` counts; repeated rows come back each, other columns are left out."""
     found = dedup(docs, text=text, keep=False, **options)
     return docs.select(key, *text_key(F.coalesce(F.col(text), F.lit("")))).join(found, ["__k1", "__k2"], "left").drop("__k1", "__k2")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    """Strings of WINDOW bytes are removed, as the contract has it; passages of WORDS words, most of which are shorter, are counted beside."""
+    return repeats(table(spark, sf_dir, "documents"), words=WORDS, passages=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
