@@ -87,6 +87,8 @@ def transform(inputs: dict[str, DataFrame], sql: str) -> DataFrame:
             held = own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
             DataFrame(held, own).createOrReplaceTempView(name)
         df = own.sql(spark_sql)
+        if (apart := dialect.counted_apart(spark_sql)) != spark_sql:
+            df = own.sql(apart).toDF(*df.columns)  # by the names that the query gives
         if (plain := dialect.plain_columns(sql)) and set(columns := own.sql(plain).columns) == set(df.columns) and len(set(columns)) == len(columns):
             df = df.select(*[f"`{c}`" for c in columns])  # replaced columns stay in their places
         return df
