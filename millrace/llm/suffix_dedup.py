@@ -31,6 +31,7 @@ WORDS, WORD_KMER = 51, 16
 #: Contexts that go through the rounds together, unless one anchor has more.
 TOGETHER = 8192
 SENT = 1_000_000  # digests that a task remembers
+HELD = 4_000_000  # bytes of contexts that a task holds before they go out, or those of one anchor
 BASE = 0x9E3779B97F4A7C15
 PAD = 256  # stands beyond the ends of a text
 
@@ -153,7 +154,7 @@ def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> Dat
 
     def find(batches):
         powers = _powers(1 << 16)
-        for batch in batches:
+        for batch in few_rows(batches):
             row, hashes, places = [], [], []
             for i, x in enumerate(batch.column(2)):
                 raw = x.as_buffer().to_pybytes()
@@ -184,8 +185,16 @@ def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> Dat
         import xxhash
 
         sent: set[int] = set()
-        for batch in batches:
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+
+        def rows(batch, out):
+            pick = pa.array(out[0], pa.int64())
+            columns = [pa.array(c, k) for c, k in zip(out[1:], kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), *columns], names=[*keys, "h", "p", "context", "lo", "hi", "digest"])
+
+        for batch in few_rows(batches):
             out: list[list] = [[] for _ in range(7)]
+            held = 0
             if len(sent) > SENT:
                 sent.clear()
             for i in range(batch.num_rows):
@@ -214,9 +223,12 @@ def _spans(texts: DataFrame, window: int, kmer: int, words: bool = False) -> Dat
                         digest = xxhash.xxh3_64_intdigest(context + lo.to_bytes(4, "little") + hi.to_bytes(4, "little")) - (1 << 63)
                         for column, value in zip(out, (i, entry["h"], places[0], None if digest in sent else context[10 if words else 2 :], lo, hi, digest), strict=True):
                             column.append(value)
+                        held += len(context)
                         sent.add(digest)
-            pick = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32()), pa.array(out[6], pa.int64())], names=[*keys, "h", "p", "context", "lo", "hi", "digest"])
+                    if held > HELD:
+                        yield rows(batch, out)
+                        out, held = [[] for _ in range(7)], 0
+            yield rows(batch, out)
 
     contexts = written(near.mapInArrow(surround, "__k1 long, __k2 int, h long, p int, context binary, lo int, hi int, digest long"), "contexts")
     forget(texts.sparkSession, since, contexts)
